@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lattica.llm import suffix_dedup
+from lattica.llm import near_dedup, suffix_dedup
 from lattica.llm.common import table
 
 
@@ -13,6 +13,10 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op2_suffix_dedup,)}
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
+
+
+QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op3_near_dedup)}
 
 ORACLE: dict[str, str] = {}
