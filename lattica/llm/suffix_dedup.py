@@ -223,14 +223,14 @@ def _round1_reduce(batches):
         yield _marks(k[rep], th[rep], opened=np.stack([pos[rep], off[rep], count[rep]], axis=1).astype("<u4"))
 
 
-ROUND2 = "<u8 <u8 <i8 <u4 <u4"
+ROUND2 = "<u8 <i8 <u4 <u4 <u2"
 
 
 def _round2_map(parts: int, seed: int, length: int):
     def fn(batches):
         for batch in batches:
             ks, ths = (np.asarray(batch.column(i)) for i in (0, 1))
-            out = []
+            out, keys = [], []
             for k, th, text, opened in zip(ks, ths, binary(batch.column(2)), batch.column(3).to_pylist(), strict=True):
                 x = np.unique(np.concatenate([np.frombuffer(o, "<u4") for o in opened]).reshape(-1, 3), axis=0).astype(np.int64)
                 b = np.frombuffer(text, np.uint8)
@@ -242,26 +242,40 @@ def _round2_map(parts: int, seed: int, length: int):
                     full = doubled(names, seed, length)
                     n = y[:, 2]
                     i = np.repeat(y[:, 0] - y[:, 1], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    a = np.repeat(y[:, 0], n)
-                    out.append((names[a - lo], mix(full[i - lo] + (a - i).astype(U)), np.full(len(i), k), np.full(len(i), th, "<u4"), i.astype("<u4")))
+                    keys.append(mix(full[i - lo] + (np.repeat(y[:, 0], n) - i).astype(U)))
+                    m = len(y)
+                    out.append((names[y[:, 0] - lo], np.full(m, k), np.full(m, th, "<u4"), (y[:, 0] - y[:, 1]).astype("<u4"), n.astype("<u2")))
             if out:
-                cols = [np.concatenate(c) for c in zip(*out, strict=True)]
-                blocks = list(_blocks((cols[1] % U(parts)).astype(np.int64), cols))
+                cols, flat = [np.concatenate(c) for c in zip(*out, strict=True)], np.concatenate(keys)
+                pid = (cols[0] % U(parts)).astype(np.int64)
+                own = np.repeat(pid, cols[4])  # of each window
+                flat = flat[np.argsort(own, kind="stable")].astype("<u8")
+                cuts = np.concatenate([[0], np.cumsum(np.bincount(own, minlength=parts))])
+                blocks = [(p, d + flat[cuts[p] : cuts[p + 1]].tobytes()) for p, d in _blocks(pid, cols)]
                 yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in blocks], pa.int32()), pa.array([d for _, d in blocks], pa.binary())], names=["pid", "data"])
 
     return fn
 
 
 def _round2_reduce(batches):
-    parts = [_unpack(d, ROUND2) for batch in batches for d in batch.column(1).to_pylist()]
+    parts, keys = [], []
+    for batch in batches:
+        for d in batch.column(1).to_pylist():
+            parts.append(_unpack(d, ROUND2))
+            keys.append(np.frombuffer(d, "<u8", offset=8 + sum(c.nbytes for c in parts[-1])))
     if not parts:
         return
-    h, w, k, th, pos = (np.concatenate(c) for c in zip(*parts, strict=True))
-    del parts
-    order, _, later = _earliest(mix(h) ^ w, k, th.astype(np.int64), pos)
+    h, k, th, first, n = (np.concatenate(c) for c in zip(*parts, strict=True))
+    w = np.concatenate(keys)
+    del parts, keys
+    n = n.astype(np.int64)
+    e = np.repeat(np.arange(len(n)), n)
+    k, th = k[e], th[e].astype(np.int64)
+    pos = first[e].astype(np.int64) + np.arange(len(e)) - (np.cumsum(n) - n)[e]
+    order, _, later = _earliest(mix(h)[e] ^ w, k, th, pos)
     if len(rest := order[later]):
         rest = rest[np.lexsort((pos[rest], th[rest], k[rest]))]
-        yield _marks(k[rest], th[rest].astype(np.int64), runs=_runs(pos[rest].astype(np.int64), 1))
+        yield _marks(k[rest], th[rest], runs=_runs(pos[rest], 1))
 
 
 def merged(runs: list[bytes] | None, length: int) -> np.ndarray:
@@ -288,11 +302,12 @@ def repeated_runs(docs: DataFrame, scratch: Scratch, min_bytes: int = 100, seed:
     keyed = _keyed(docs)
     sent = keyed.mapInArrow(_round1_map(parts, seed, min_bytes), f"pid int, data binary, {MARK}")
     one = scratch.save(sent.repartitionById(parts, "pid").mapInArrow(_round1_reduce, MARK), "round1")
+    spark._jvm.System.gc()  # lets Spark delete the shuffle files of a round that is written
     opened = one.filter("open is not null").groupBy("k", "th").agg(F.collect_list("open").alias("open"))
     again = keyed.join(opened.hint("shuffle_hash"), ["k", "th"]).select("k", "th", "text", "open").mapInArrow(_round2_map(parts, seed, min_bytes), "pid int, data binary")
     two = scratch.save(again.repartitionById(parts, "pid").mapInArrow(_round2_reduce, MARK), "round2")
     both = one.filter("runs is not null").select("k", "th", "runs").unionByName(two.select("k", "th", "runs"))
-    spark._jvm.System.gc()  # lets Spark delete the shuffle files of the two rounds
+    spark._jvm.System.gc()
     return both.groupBy("k", "th").agg(F.collect_list("runs").alias("runs"))
 
 
