@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lattica.llm import near_dedup, suffix_dedup
+from lattica.llm import decontaminate, near_dedup, suffix_dedup
 from lattica.llm.common import table
 
 
@@ -17,6 +17,11 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
 
 
-QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op3_near_dedup)}
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
+    return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op3_near_dedup, op6_decontaminate)}
 
 ORACLE: dict[str, str] = {}
