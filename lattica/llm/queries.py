@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lattica.llm import decontaminate, near_dedup, suffix_dedup
-from lattica.llm.common import table
+from lattica.llm import decontaminate, language, mixing, near_dedup, suffix_dedup
+from lattica.llm.common import crc_mod, table
+
+
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(table(spark, sf_dir, "documents"))
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +26,10 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op3_near_dedup, op6_decontaminate)}
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.report(table(spark, sf_dir, "documents"), crc_mod("doc_id", 4) == 2).drop("shares")
+
+
+QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_suffix_dedup, op3_near_dedup, op6_decontaminate, op8_language_id)}
 
 ORACLE: dict[str, str] = {}
