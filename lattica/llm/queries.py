@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lattica.llm import decontaminate, language, mixing, near_dedup, suffix_dedup
+from lattica.llm import decontaminate, language, license_scan, mixing, near_dedup, quality, suffix_dedup
 from lattica.llm.common import crc_mod, table
 
 
@@ -21,15 +21,24 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.report(table(spark, sf_dir, "documents"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = lambda doc_id: crc_mod(doc_id, 3) == 1
+    return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held_out)
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.report(table(spark, sf_dir, "documents"), crc_mod("doc_id", 4) == 2).drop("shares")
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_suffix_dedup, op3_near_dedup, op6_decontaminate, op8_language_id)}
+QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_suffix_dedup, op3_near_dedup, op4_license_scan, op6_decontaminate, op7_quality, op8_language_id)}
 
 ORACLE: dict[str, str] = {}
