@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lattica.llm import decontaminate, language, license_scan, mixing, near_dedup, quality, suffix_dedup, vector_search
+from lattica.llm import decontaminate, html_extract, language, license_scan, mixing, near_dedup, quality, suffix_dedup, vector_search
 from lattica.llm.common import crc_mod, table
 
 
@@ -39,11 +39,15 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.report(table(spark, sf_dir, "documents"), crc_mod("doc_id", 4) == 2).drop("shares")
 
 
+def op9_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.report(table(spark, sf_dir, "pages"))
+
+
 def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return vector_search.top_k(vectors.filter("vec_id % 100 = 0"), vectors, k=10)
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_suffix_dedup, op3_near_dedup, op4_license_scan, op6_decontaminate, op7_quality, op8_language_id, op10_exact_top_k)}
+QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_suffix_dedup, op3_near_dedup, op4_license_scan, op6_decontaminate, op7_quality, op8_language_id, op9_html_main_text, op10_exact_top_k)}
 
 ORACLE: dict[str, str] = {"op10_exact_top_k": vector_search.ORACLE}
