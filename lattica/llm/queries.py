@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lattica.llm import decontaminate, html_extract, language, license_scan, mixing, near_dedup, quality, suffix_dedup, vector_search
+from lattica.llm import decontaminate, html_extract, katz, language, license_scan, mixing, near_dedup, quality, suffix_dedup, vector_search
 from lattica.llm.common import crc_mod, table
 
 
@@ -25,6 +25,10 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.report(table(spark, sf_dir, "documents"))
 
 
+def op5_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.report(table(spark, sf_dir, "documents"), crc_mod("doc_id", 10) == 0)
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -48,6 +52,6 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_search.top_k(vectors.filter("vec_id % 100 = 0"), vectors, k=10)
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_suffix_dedup, op3_near_dedup, op4_license_scan, op6_decontaminate, op7_quality, op8_language_id, op9_html_main_text, op10_exact_top_k)}
+QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_suffix_dedup, op3_near_dedup, op4_license_scan, op5_katz, op6_decontaminate, op7_quality, op8_language_id, op9_html_main_text, op10_exact_top_k)}
 
 ORACLE: dict[str, str] = {"op10_exact_top_k": vector_search.ORACLE}
