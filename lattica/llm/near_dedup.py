@@ -9,10 +9,13 @@ space, A-Z lower-cased; fewer words: the whole sequence). Documents are linked w
    pair at similarity 0.8 with probability (1 - 0.8**5)**36 = 6e-7, others less.
 2. Equal sets are one class (its smallest doc_id stands for it), so thousands of
    copies cost one row each and no pairs.
-3. In a bucket every class is compared with the bucket's smallest one, and kept
-   links are joined into components. A bucket whose classes fell into different
-   components is looked at again: its pairs across components are compared too.
-   Pairs inside a component can no longer change it.
+3. In a bucket every class is compared with two centres, the bucket's smallest
+   class and the one that shares most buckets with others (the text that copies were
+   made from), and kept links are joined into components. A bucket whose classes fell
+   into different components is looked at again: its pairs across components are
+   compared too, if the bitmaps of their sets allow the similarity (the xor of two
+   parity bitmaps has no more bits than the sets' symmetric difference, so no link is
+   lost). Pairs inside a component can no longer change it.
 4. Links are confirmed on the full sets, whose texts are read again only for
    documents in question.
 5. Components come from alternating large-star and small-star steps.
@@ -39,6 +42,7 @@ from lattica.llm.hashing import U, mix, words
 BANDS, ROWS = 36, 5
 SEED = 20_240_229
 BLOCK = 4096
+BITS = 4096
 
 
 def shingles(texts: list[bytes], size: int = 2):
@@ -85,7 +89,7 @@ def _signatures(size: int):
 
     def fn(batches):
         for batch in batches:
-            n, one, two, keys, counts = [], [], [], [], []
+            n, one, two, keys, counts, bits = [], [], [], [], [], []
             for s in shingles(binary(batch.column(1)), size):
                 n.append(len(s))
                 one.append(int(mix(s).sum()) if len(s) else 0)
@@ -97,10 +101,14 @@ def _signatures(size: int):
                         key = mix(key * U(0x9E3779B97F4A7C15) + m[:, j])
                     keys.append(key)
                 counts.append(BANDS if len(s) else 0)
+                odd = np.bincount((s & U(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+                bits.append(np.packbits(odd.astype(np.uint8)).view(np.int64) if len(s) else np.zeros(0, np.int64))
             flat = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
             bands = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(flat))
             as_long = lambda x: pa.array(np.array(x, dtype=U).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), as_long(one), as_long(two), bands], names=["doc_id", "n", "h1", "h2", "bands"])
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in bits])]).astype(np.int32)
+            maps = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(bits) if bits else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), as_long(one), as_long(two), bands, maps], names=["doc_id", "n", "h1", "h2", "bands", "bits"])
 
     return fn
 
@@ -160,15 +168,19 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFr
     """Per row of docs (doc_id, text): doc_id, n_shingles, component_id, kept, class_id."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     scratch = Scratch(docs.sparkSession, "near")
-    every = scratch.save(docs.mapInArrow(_signatures(size), "doc_id long, n long, h1 long, h2 long, bands array<long>"), "signatures")
+    every = scratch.save(docs.mapInArrow(_signatures(size), "doc_id long, n long, h1 long, h2 long, bands array<long>, bits array<long>"), "signatures")
     sets = every.filter("n > 0 and doc_id is not null")
     classes = scratch.save(sets.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("class")), "classes")
-    firsts = sets.join(classes, [sets.n == classes.n, sets.h1 == classes.h1, sets.h2 == classes.h2, sets.doc_id == classes["class"]]).select("doc_id", sets.n.alias("n"), "bands")
+    firsts = sets.join(classes, [sets.n == classes.n, sets.h1 == classes.h1, sets.h2 == classes.h2, sets.doc_id == classes["class"]]).select("doc_id", sets.n.alias("n"), "bands", "bits")
     keys = firsts.select("doc_id", "n", F.explode("bands").alias("key"))
-    buckets = keys.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("least"), F.max("doc_id").alias("most")).filter("least.doc_id < most")
-    members = scratch.save(keys.join(buckets, "key").select("key", "doc_id", "n", "least"), "members")
+    buckets = keys.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("least"), F.max("doc_id").alias("most"), F.count(F.lit(1)).alias("size")).filter("least.doc_id < most")
+    members = scratch.save(keys.join(buckets, "key").select("key", "doc_id", "n", "least", "size"), "members")
     sized = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
-    pairs = members.filter((F.col("least.doc_id") != F.col("doc_id")) & sized(F.col("n"), F.col("least.n"))).select(F.col("least.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
+    met = members.groupBy("doc_id").agg(F.sum("size").alias("met"))
+    hubs = members.join(met, "doc_id").groupBy("key").agg(F.max(F.struct("met", "doc_id", "n")).alias("hub"))
+    centred = members.join(hubs, "key").select("doc_id", "n", F.explode(F.array(F.struct("least.doc_id", "least.n"), F.struct("hub.doc_id", "hub.n"))).alias("c"))
+    centred = centred.filter((F.col("c.doc_id") != F.col("doc_id")) & sized(F.col("n"), F.col("c.n")))
+    pairs = centred.select(F.least("c.doc_id", "doc_id").alias("a"), F.greatest("c.doc_id", "doc_id").alias("b")).distinct()
     same_id = sets.groupBy("doc_id").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).filter("lo < hi").select("doc_id")
     pairs = scratch.save(pairs, "pairs")
     links = _confirmed(docs, pairs, size, percent)
@@ -178,9 +190,11 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFr
     # buckets that hold several components: their pairs across components
     placed = members.join(roots.withColumnRenamed("v", "doc_id"), "doc_id", "left").select("key", "doc_id", "n", F.coalesce("root", "doc_id").alias("root"))
     mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
-    placed = scratch.save(placed.join(mixed, "key"), "mixed")
-    x, y = (placed.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "n", "root"))) for s in "xy")
-    across = x.join(y, "key").filter((F.col("root_x") < F.col("root_y")) & sized(F.col("n_x"), F.col("n_y")))
+    placed = scratch.save(placed.join(mixed, "key").join(firsts.select("doc_id", "bits"), "doc_id"), "mixed")
+    x, y = (placed.select(*(F.col(c).alias(f"{c}_{s}") for c in ("key", "doc_id", "n", "root", "bits"))) for s in "xy")
+    apart = F.aggregate(F.zip_with("bits_x", "bits_y", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, c: t + c)
+    near = apart * (100 + percent) <= (F.col("n_x") + F.col("n_y")) * (100 - percent)
+    across = x.join(y, (F.col("key_x") == F.col("key_y")) & (F.col("root_x") < F.col("root_y")) & sized(F.col("n_x"), F.col("n_y")) & near)
     across = across.select(F.least("doc_id_x", "doc_id_y").alias("a"), F.greatest("doc_id_x", "doc_id_y").alias("b")).distinct()
     across = scratch.save(across.join(pairs, ["a", "b"], "left_anti"), "across")
     more = scratch.save(_confirmed(docs, across, size, percent), "more")
