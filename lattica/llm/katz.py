@@ -32,13 +32,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm.common import Scratch, binary, groups, n_parts
 from lattica.llm.hashing import U, mix, words
-from lattica.llm.suffix_dedup import _pack, _unpack
 
 K, HOT, BATCH = 5, 1000, 1 << 23
 END = U(0xE5D0C1B2A3948576)
@@ -46,6 +46,23 @@ START = (1 << 32) - 1
 BATCHES = "bid long, doc_id array<long>, held array<boolean>, ends binary, tokens binary, vocab binary, seen binary, part binary"
 
 
+def _pack(*cols: np.ndarray) -> bytes:
+    """Columns of one length, their bytes by significance and compressed: most are small numbers."""
+    planes = [c.view(np.uint8).reshape(len(c), -1).T.tobytes() for c in map(np.ascontiguousarray, cols)]
+    return zstandard.compress(len(cols[0]).to_bytes(8, "little") + b"".join(planes), 1)
+
+
+def _unpack(data, kinds: str) -> list[np.ndarray]:
+    raw = zstandard.decompress(data)
+    n, at, out = int.from_bytes(raw[:8], "little"), 8, []
+    for kind in map(np.dtype, kinds.split()):
+        size = n * kind.itemsize
+        planes = np.frombuffer(raw, np.uint8, size, at).reshape(kind.itemsize, n)
+        out.append(np.ascontiguousarray(planes.T).view(kind).ravel())
+        at += size
+    return out
+
+
 def _split(parts: int):
     """Batches of rows (doc_id, held, text)."""
     names = [x.split()[0] for x in BATCHES.split(", ")]
@@ -67,24 +84,29 @@ def _split(parts: int):
                 seen = np.bincount(tokens[known], minlength=len(vocab))
                 part = (mix(vocab) % U(parts)).astype("<u4")
                 cols = [np.cumsum(sizes).astype("<u4"), tokens.astype("<u4"), vocab, seen.astype("<u4"), part]
-                yield pa.RecordBatch.from_arrays([pa.array([bid], pa.int64()), pa.array([ids.slice(lo, hi - lo).to_pylist()], pa.list_(pa.int64())), pa.array([held[lo:hi].tolist()], pa.list_(pa.bool_())), *(pa.array([c.tobytes()], pa.binary()) for c in cols)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array([bid], pa.int64()), pa.array([ids.slice(lo, hi - lo).to_pylist()], pa.list_(pa.int64())), pa.array([held[lo:hi].tolist()], pa.list_(pa.bool_())), *(pa.array([_pack(c)], pa.binary()) for c in cols)], names=names)
                 bid += 1
 
     return fn
 
 
 def _dealt(bid: int, part: np.ndarray, cols: list[np.ndarray]):
-    """(pid, bid, packed columns) of the entries of each partition."""
+    """(pid, bid, packed columns) of the entries of each partition; the first column, which is sorted, as differences."""
     order = np.argsort(part, kind="stable")
     cuts = np.flatnonzero(np.diff(part[order].astype(np.int64), prepend=-1))
-    rows = [(int(part[order[lo]]), _pack(*(c[order[lo:hi]] for c in cols))) for lo, hi in zip(cuts, [*cuts[1:], len(order)], strict=True)]
+    rows = []
+    for lo, hi in zip(cuts, [*cuts[1:], len(order)], strict=True):
+        own = order[lo:hi]
+        first = cols[0][own]
+        first[1:] -= first[:-1].copy()
+        rows.append((int(part[own[0]]), _pack(first, *(c[own] for c in cols[1:]))))
     return pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int32()), pa.array([bid] * len(rows), pa.int64()), pa.array([d for _, d in rows], pa.binary())], names=["pid", "bid", "data"])
 
 
 def _ask_words(batches):
     for batch in batches:
         for i in range(batch.num_rows):
-            vocab, seen, part = (np.frombuffer(batch.column(j)[i].as_buffer(), t) for j, t in ((1, "<u8"), (2, "<u4"), (3, "<u4")))
+            vocab, seen, part = (_unpack(batch.column(j)[i].as_buffer(), t)[0] for j, t in ((1, "<u8"), (2, "<u4"), (3, "<u4")))
             yield _dealt(batch.column(0)[i].as_py(), part, [vocab, seen])
 
 
@@ -98,6 +120,10 @@ def _answers(rows: list[tuple], pid: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([bid, pa.array([pid] * len(rows), pa.int32()), data, kind, a, b], names=["bid", "pid", "data", "kind", "a", "b"])
 
 
+def _two(a: bytes, b: bytes) -> bytes:
+    return len(a).to_bytes(8, "little") + a + b
+
+
 def _counts_of(r: np.ndarray) -> list[tuple]:
     n = np.bincount(r[(r > 0) & (r <= K + 1)], minlength=K + 2)
     return [(None, None, 1, i, int(n[i])) for i in range(1, K + 2)]
@@ -111,6 +137,7 @@ def _count_words(parts: int):
                 pid = p
                 bids.append(bid)
                 blocks.append(_unpack(d, "<u8 <u4"))
+                np.cumsum(blocks[-1][0], out=blocks[-1][0])
         if not blocks:
             return
         sizes = [len(h) for h, _ in blocks]
@@ -190,7 +217,7 @@ def _contexts(keys: np.ndarray, hot: np.ndarray, parts: int) -> np.ndarray:
 
 def _batch(batch, i: int, first: int):
     """ends, tokens and part of a joined row."""
-    return (np.frombuffer(batch.column(first + j)[i].as_buffer(), "<u4") for j in range(3))
+    return (_unpack(batch.column(first + j)[i].as_buffer(), "<u4")[0] for j in range(3))
 
 
 def _ask_bigrams(parts: int, hot: np.ndarray):
@@ -205,7 +232,7 @@ def _ask_bigrams(parts: int, hot: np.ndarray):
                 seen = np.bincount(at[train], minlength=len(keys))
                 last = np.zeros(len(keys), np.int64)
                 last[at] = c[tokens]
-                cols = [(keys >> U(32)).astype("<u4"), (keys & U(START)).astype("<u4"), seen.astype("<u4"), last]
+                cols = [(keys >> U(32)).astype("<u4"), (keys & U(START)).astype("<u4"), seen.astype("<u4"), last]  # ids are below 2^32
                 yield _dealt(batch.column(0)[i].as_py(), _contexts(keys, hot, parts), cols)
 
     return fn
@@ -219,6 +246,7 @@ def _count_bigrams(uni: Unigrams, hot: np.ndarray):
                 pid = p
                 bids.append(bid)
                 blocks.append(_unpack(d, "<u4 <u4 <u4 <i8"))
+                np.cumsum(blocks[-1][0], out=blocks[-1][0])
         if not blocks:
             return
         cuts = np.concatenate([[0], np.cumsum([len(b[0]) for b in blocks])])
@@ -242,7 +270,7 @@ def _count_bigrams(uni: Unigrams, hot: np.ndarray):
             # a context that is not hot sends its sums where they are needed: unseen words, and D
             plain = (sums[:K, ctx].sum(axis=0) == 0) & ~is_hot[ctx]
             none = (code == 0) & ~is_hot[ctx]
-            yield _answers([(bid, _pack(code.astype("<i8"), plain.astype("u1")) + sums[:, ctx[none]].astype("<f8").tobytes(), 0, 0, 0)], pid)
+            yield _answers([(bid, _two(_pack(code.astype("<i8"), plain.astype("u1")), _pack(*sums[:, ctx[none]].astype("<f8"))), 0, 0, 0)], pid)
 
     return fn
 
@@ -281,8 +309,9 @@ def _evaluate(uni: Unigrams, bi: Discounts, hot: np.ndarray, hot_sums: np.ndarra
                 logp = np.zeros(len(keys))
                 for a in batch.column(6)[i].as_py():
                     own = order[cuts[a["pid"]] : cuts[a["pid"] + 1]]
-                    r, plain = _unpack(a["data"], "<i8 u1")
-                    sums = np.frombuffer(a["data"], "<f8", offset=8 + r.nbytes + plain.nbytes).reshape(K + 2, -1)
+                    n = int.from_bytes(a["data"][:8], "little")
+                    r, plain = _unpack(a["data"][8 : 8 + n], "<i8 u1")
+                    sums = np.stack(_unpack(a["data"][8 + n :], "<f8 " * (K + 2)))
                     seen, hots = r > 0, is_hot[own]
                     x = np.empty(len(r))
                     d = np.where(hots, hot_d[h[own]], np.log10(np.maximum(before[own] + plain, 1)))
