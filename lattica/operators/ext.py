@@ -116,7 +116,7 @@ class MatrixExt:
 
     def reshape(self, nrows: int, ncols: int | None = None, order="rowwise") -> Matrix:
         n = self.a.nrows * self.a.ncols
-        nrows, ncols = nrows if ncols is not None else nrows
+        nrows, ncols = (nrows, ncols) if ncols is not None else nrows
         return self.flatten(order).ss.reshape(nrows, ncols, order) if n else self.a.dup()
 
     def concat(self, tiles) -> None:
