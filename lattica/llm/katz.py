@@ -48,7 +48,7 @@ BATCHES = "bid long, doc_id array<long>, held array<boolean>, ends binary, token
 
 def _pack(*cols: np.ndarray) -> bytes:
     """Columns of one length, their bytes by significance and compressed: most are small numbers."""
-    planes = [c.view(np.uint8).reshape(len(c), -1).T.tobytes() for c in map(np.ascontiguousarray, cols)]
+    planes = [c.view(np.uint8).reshape(len(c), c.itemsize).T.tobytes() for c in map(np.ascontiguousarray, cols)]
     return zstandard.compress(len(cols[0]).to_bytes(8, "little") + b"".join(planes), 1)
 
 
