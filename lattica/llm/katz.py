@@ -58,7 +58,7 @@ def _unpack(data, kinds: str) -> list[np.ndarray]:
     for kind in map(np.dtype, kinds.split()):
         size = n * kind.itemsize
         planes = np.frombuffer(raw, np.uint8, size, at).reshape(kind.itemsize, n)
-        out.append(np.ascontiguousarray(planes.T).view(kind).ravel())
+        out.append(planes.T.copy().view(kind).ravel())
         at += size
     return out
 
