@@ -819,20 +819,20 @@ class Matrix(_Grid):
     @classmethod
     def from_csr(cls, indptr, indices, values=1.0, dtype=None, *, ncols=None, name=None):
         n = len(indptr) - 1
-        return cls.from_coo(np.repeat(np.arange(n), np.diff(indptr)), indices, values, dtype, nrows=n, ncols=ncols)
+        return cls.from_coo(np.repeat(np.arange(n), np.diff(np.asarray(indptr, np.int64))), indices, values, dtype, nrows=n, ncols=ncols)
 
     @classmethod
     def from_csc(cls, indptr, indices, values=1.0, dtype=None, *, nrows=None, name=None):
         n = len(indptr) - 1
-        return cls.from_coo(indices, np.repeat(np.arange(n), np.diff(indptr)), values, dtype, nrows=nrows, ncols=n)
+        return cls.from_coo(indices, np.repeat(np.arange(n), np.diff(np.asarray(indptr, np.int64))), values, dtype, nrows=nrows, ncols=n)
 
     @classmethod
     def from_dcsr(cls, compressed_rows, indptr, indices, values=1.0, dtype=None, *, nrows=None, ncols=None, name=None):
-        return cls.from_coo(np.repeat(compressed_rows, np.diff(indptr)), indices, values, dtype, nrows=nrows, ncols=ncols)
+        return cls.from_coo(np.repeat(compressed_rows, np.diff(np.asarray(indptr, np.int64))), indices, values, dtype, nrows=nrows, ncols=ncols)
 
     @classmethod
     def from_dcsc(cls, compressed_cols, indptr, indices, values=1.0, dtype=None, *, nrows=None, ncols=None, name=None):
-        return cls.from_coo(indices, np.repeat(compressed_cols, np.diff(indptr)), values, dtype, nrows=nrows, ncols=ncols)
+        return cls.from_coo(indices, np.repeat(compressed_cols, np.diff(np.asarray(indptr, np.int64))), values, dtype, nrows=nrows, ncols=ncols)
 
     @classmethod
     def from_scalar(cls, value, nrows, ncols, dtype=None, *, name=None):
