@@ -389,7 +389,10 @@ def main_text(root: Node, nodes: list[Node], odds: np.ndarray) -> str:
 def report(pages: DataFrame, sample: int = 200) -> DataFrame:
     """Per page: page_id, url, text, n_chars."""
     pages = pages.select(F.col("page_id"), F.col("url"), F.col("html"))
-    chosen = [r.html for r in pages.filter("html is not null and length(html) < 200000").orderBy(F.xxhash64("page_id"), "page_id", "html").select("html").limit(sample).collect()]
+    whole = pages.filter("html is not null and length(html) < 200000 and page_id is not null")
+    # ids first, so that tasks send their smallest ids to be merged and not their pages
+    ids = [r.page_id for r in whole.select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(sample).collect()]
+    chosen = [r.html for r in whole.filter(F.col("page_id").isin(ids)).select("html", "page_id").orderBy("page_id", "html").limit(sample).collect()] if ids else []
     shared = pages.sparkSession.sparkContext.broadcast(fit(chosen))
 
     def fn(batches):
