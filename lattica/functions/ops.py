@@ -14,6 +14,7 @@ from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lattica.functions import dtypes as dt
 from lattica.functions import semantics as sem
@@ -54,11 +55,15 @@ class Op:
 
     def computing(self, t: DataType) -> DataType:
         t = self.pinned or t
+        if t.kind == "o" and self.name in LIFTED:
+            return t
         if t.kind not in self.types and not self.positional:
             raise TypeError(f"{self.name} has no {t}")
         return self.inner(t)
 
     def result(self, t: DataType) -> DataType:
+        if t.kind == "o" and self.name in LIFTED and self.pinned is None:
+            return t
         return INT64 if self.positional else self.outer(self.computing(t))
 
     def __call__(self, *args, **kwargs):
@@ -70,10 +75,28 @@ class Op:
         return f"{type(self).__name__.lower()}.{self.name}"
 
 
+#: Operators that go into the fields of records and the elements of arrays.
+LIFTED = {"plus", "minus", "times", "truediv", "floordiv", "min", "max", "ainv", "abs"}
+
+
+def _lift(op, cols: list[Column], spark) -> Column:
+    """A lifted operator on user types, field by field and element by element."""
+    if isinstance(spark, T.StructType):
+        return F.struct(*(_lift(op, [c[f.name] for c in cols], f.dataType).alias(f.name) for f in spark.fields))
+    if isinstance(spark, T.ArrayType):
+        if len(cols) == 1:
+            return F.transform(cols[0], lambda x: _lift(op, [x], spark.elementType))
+        return F.zip_with(*cols, lambda x, y: _lift(op, [x, y], spark.elementType))
+    t = dt.lookup(spark)
+    return (op.compute(cols[0], t) if len(cols) == 1 else op.compute(*cols, t, t)).cast(spark)
+
+
 class UnaryOp(Op):
     def compute(self, x: Column, t: DataType, i: Column | None = None, j: Column | None = None) -> Column:
         if self.positional:
             return self.fn(i, j).cast("long")
+        if t.kind == "o" and self.name in LIFTED:
+            return _lift(self, [x], t.spark)
         w = self.computing(t)
         return _finish(self.fn(dt.wide(dt.cast(x, t, w), w), w), self.outer(w))
 
@@ -84,6 +107,8 @@ class BinaryOp(Op):
         if self.positional:
             return self.fn(at).cast("long")
         t = unified or unify_args(self, tx, ty)
+        if t.kind == "o" and self.name in LIFTED:
+            return _lift(self, [x, y], t.spark)
         w = self.computing(t)
         one = lambda c, s: dt.wide(dt.cast(c, s, w), w)
         if self.meta.get("raw"):

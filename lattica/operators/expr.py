@@ -12,6 +12,15 @@ from lattica.functions import ops
 from lattica.functions.dtypes import DataType
 
 
+RECORDERS: list = []
+
+
+def record(what: str) -> None:
+    """Notes an operation with all recorders that run."""
+    for r in RECORDERS:
+        r.data.append(what)
+
+
 class Expr:
     """An operation that has captured its operands' DataFrames but run nothing.
 
@@ -23,6 +32,7 @@ class Expr:
     def __init__(self, kind: type, dtype: DataType, shape: tuple, make: Callable[[Any], DataFrame], name: str = ""):
         self.kind, self.dtype, self.shape, self.make, self.name = kind, dtype, shape, make, name
         self._value = None
+        record(f"{kind.__name__}[{dtype}]{tuple(shape)} = {name}")
 
     def new(self, dtype=None, *, mask=None, name=None):
         """A new collection with the result; mask keeps its entries only."""
