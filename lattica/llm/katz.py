@@ -30,6 +30,8 @@ the unknown word, 1.
 
 from __future__ import annotations
 
+import gc
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -329,6 +331,12 @@ def _evaluate(uni: Unigrams, bi: Discounts, hot: np.ndarray, hot_sums: np.ndarra
     return fn
 
 
+def _free(spark) -> None:
+    """Lets Spark delete the shuffle files of a stage that is written: the driver's references to it go first."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def report(docs: DataFrame, held_out: Column) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
@@ -337,7 +345,8 @@ def report(docs: DataFrame, held_out: Column) -> DataFrame:
     split = scratch.save(rows.mapInArrow(_split(parts), BATCHES), "batches")
     asked = split.select("bid", "vocab", "seen", "part").mapInArrow(_ask_words, "pid int, bid long, data binary").repartitionById(parts, "pid")
     told = scratch.save(asked.mapInArrow(_count_words(parts), ANSWER), "words")
-    spark._jvm.System.gc()  # lets Spark delete the shuffle files of a stage that is written
+    del asked
+    _free(spark)
 
     def counts(df):
         return {r.a: r.n for r in df.filter("kind = 1").groupBy("a").agg(F.sum("b").alias("n")).collect()}
@@ -351,7 +360,8 @@ def report(docs: DataFrame, held_out: Column) -> DataFrame:
     joined = batches.join(answers(told, "words").hint("shuffle_hash"), "bid")
     asked = joined.select("bid", "held", "ends", "tokens", "part", "words").mapInArrow(_ask_bigrams(parts, hot), "pid int, bid long, data binary").repartitionById(parts, "pid")
     pairs = scratch.save(asked.mapInArrow(_count_bigrams(uni, hot), ANSWER), "bigrams")
-    spark._jvm.System.gc()
+    del asked, joined
+    _free(spark)
     bi = Discounts(counts(pairs))
     hot_sums, place = np.zeros((K + 2, len(hot))), {int(v): i for i, v in enumerate(hot)}
     for r in pairs.filter("kind = 4").select("a", "data").toLocalIterator():
