@@ -85,7 +85,7 @@ def _split(parts: int):
                 known = np.repeat(~held[lo:hi], sizes)
                 seen = np.bincount(tokens[known], minlength=len(vocab))
                 part = (mix(vocab) % U(parts)).astype("<u4")
-                cols = [np.cumsum(sizes).astype("<u4"), tokens.astype("<u4"), vocab, seen.astype("<u4"), part]
+                cols = [np.cumsum(sizes).astype("<u4"), tokens.astype("<u4"), np.diff(vocab, prepend=U(0)), seen.astype("<u4"), part]
                 yield pa.RecordBatch.from_arrays([pa.array([bid], pa.int64()), pa.array([ids.slice(lo, hi - lo).to_pylist()], pa.list_(pa.int64())), pa.array([held[lo:hi].tolist()], pa.list_(pa.bool_())), *(pa.array([_pack(c)], pa.binary()) for c in cols)], names=names)
                 bid += 1
 
@@ -109,7 +109,7 @@ def _ask_words(batches):
     for batch in batches:
         for i in range(batch.num_rows):
             vocab, seen, part = (_unpack(batch.column(j)[i].as_buffer(), t)[0] for j, t in ((1, "<u8"), (2, "<u4"), (3, "<u4")))
-            yield _dealt(batch.column(0)[i].as_py(), part, [vocab, seen])
+            yield _dealt(batch.column(0)[i].as_py(), part, [np.cumsum(vocab, dtype=U), seen])
 
 
 ANSWER = "bid long, pid int, data binary, kind int, a long, b long"
