@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lattica.llm import decontaminate, html_extract, katz, language, license_scan, mixing, near_dedup, quality, suffix_dedup, vector_search
+from lattica.llm import decontaminate, html_extract, katz, language, license_scan, mixing, near_dedup, quality, sql, suffix_dedup, vector_search
 from lattica.llm.common import crc_mod, table
 
 
@@ -54,4 +54,4 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_suffix_dedup, op3_near_dedup, op4_license_scan, op5_katz, op6_decontaminate, op7_quality, op8_language_id, op9_html_main_text, op10_exact_top_k)}
 
-ORACLE: dict[str, str] = {"op10_exact_top_k": vector_search.ORACLE}
+ORACLE: dict[str, str] = {"op2_suffix_dedup": sql.SUFFIX_DEDUP, "op3_near_dedup": sql.NEAR_DEDUP, "op6_decontaminate": sql.DECONTAMINATE, "op10_exact_top_k": vector_search.ORACLE}
