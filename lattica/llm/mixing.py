@@ -5,7 +5,7 @@ exponent t in [0, 1] is the largest whose entropy reaches ``entropy`` times the
 largest possible, and at least the smallest that keeps every source within
 ``max_epochs`` passes over its tokens. Both searches cut the interval into GRID
 parts per round, all evaluated by one aggregate over the table of sources (a
-GRID-ary bisection), so the sources are never collected.
+GRID-ary bisection), of which one row per part is read; sources are never collected.
 
 Budgets. A source's budget is its weight times ``budget`` tokens (default: the
 corpus): so many full epochs, then a part of one more.
@@ -28,6 +28,8 @@ a budget is missed by less than one document (and rows that repeat it).
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -47,14 +49,18 @@ def _key(source):
     return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit(""))
 
 
+def _at(sources: DataFrame, exponents: list[float]) -> list:
+    """For each exponent t: z = sum q^t, s = sum q^t ln q, m = max (t-1) ln q; one row each, with map-side parts."""
+    ln, t = F.col("ln"), F.col("t")
+    rows = sources.select(F.log("q").alias("ln"), F.posexplode(F.array(*map(F.lit, exponents))).alias("i", "t"))
+    return rows.groupBy("i").agg(F.sum(F.exp(ln * t)).alias("z"), F.sum(F.exp(ln * t) * ln).alias("s"), F.max(ln * (t - 1)).alias("m")).orderBy("i").collect()
+
+
 def _search(sources: DataFrame, good, lo: float, hi: float, largest: bool) -> float:
-    """The largest (or smallest) exponent in [lo, hi] with good(Z, sum q^t ln q, max q^(t-1)); good is monotone."""
+    """The largest (or smallest) exponent in [lo, hi] with good(z, s, m, t); good is monotone."""
     for _ in range(ROUNDS):
         at = [lo + (hi - lo) * i / GRID for i in range(GRID + 1)]
-        ln = F.log("q")
-        aggs = [f for i, t in enumerate(at) for f in (F.sum(F.exp(ln * t)).alias(f"z{i}"), F.sum(F.exp(ln * t) * ln).alias(f"s{i}"), F.max(ln * (t - 1)).alias(f"m{i}"))]
-        r = sources.agg(*aggs).first()
-        ok = [i for i in range(GRID + 1) if good(r[f"z{i}"], r[f"s{i}"], r[f"m{i}"], at[i])]
+        ok = [i for i, r in enumerate(_at(sources, at)) if good(r.z, r.s, r.m, at[i])]
         if not ok:
             return lo if largest else hi
         i = max(ok) if largest else min(ok)
@@ -64,15 +70,14 @@ def _search(sources: DataFrame, good, lo: float, hi: float, largest: bool) -> fl
 
 def exponent(sources: DataFrame, entropy: float, max_epochs: float, budget_ratio: float) -> float:
     """From sources (q): shares that add up to 1; budget_ratio: budget over all tokens."""
-    import math
-
     n = sources.count()
     target = entropy * math.log(n) if n else 0.0
     slack = 1e-9
     t = _search(sources, lambda z, s, m, t: math.log(z) - t * s / z >= target - slack, 0.0, 1.0, largest=True)
     # a source's epochs: weight * budget / tokens = q^(t-1) / Z * budget_ratio
-    need = _search(sources, lambda z, s, m, t: math.exp(m) / z * budget_ratio <= max_epochs + slack, 0.0, 1.0, largest=False)
-    return max(t, need)
+    within = lambda z, s, m, t: math.exp(m) / z * budget_ratio <= max_epochs + slack
+    r = _at(sources, [t])[0]
+    return t if within(r.z, r.s, r.m, t) else _search(sources, within, t, 1.0, largest=False)
 
 
 def plan(docs: DataFrame, scratch: Scratch, entropy: float, max_epochs: float, budget: int | None, block_tokens: int, seed: int) -> DataFrame:
