@@ -70,23 +70,20 @@ class Quantiser:
 
 def _best(q: np.ndarray, own: int, ids: np.ndarray, z: np.ndarray, upper: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The k best (ids, scores) of a slice, reading exact vectors in falling order of their bound."""
-    ok = ids != own
-    order, step = None, max(64, 4 * k)
+    left, step = np.flatnonzero(ids != own), max(64, 4 * k)
     got_i = got_s = np.zeros(0, np.int64)
-    n = int(ok.sum())
-    upper = np.where(ok, upper, -(1 << 62))
-    read = 0
-    while read < n:
-        if order is None or read >= len(order):
-            order = np.argpartition(-upper, min(n, read + step) - 1)[: min(n, read + step)] if read + step < len(upper) else np.arange(len(upper))
-            order = order[np.argsort(-upper[order], kind="stable")][:n]
-        at = order[read : read + step]
-        if len(got_s) >= k and got_s[k - 1] > upper[at[0]]:
+    while len(left):
+        at = left
+        if step < len(left):  # only rows not yet read are partitioned, so equal bounds cannot repeat or hide a row
+            cut = np.argpartition(-upper[left], step - 1)
+            at, left = left[cut[:step]], left[cut[step:]]
+        else:
+            left = left[:0]
+        if len(got_s) >= k and got_s[k - 1] > upper[at].max():
             break  # an equal bound could still be a tie with a smaller id
         got_i, got_s = np.concatenate([got_i, ids[at]]), np.concatenate([got_s, z[at] @ q])
         best = np.lexsort((got_i, -got_s))[:k]
         got_i, got_s = got_i[best], got_s[best]
-        read += len(at)
         step *= 2
     return got_i, got_s
 

@@ -44,3 +44,18 @@ def test_bounds_skip_reading():
     quant = vs.Quantiser(int(z.min()), int(z.max()), 16)
     upper = quant.bounds(q).ravel()[quant.cells(z).T + (np.arange(16) * vs.CELLS)[:, None]].sum(axis=0)
     assert (upper >= z @ q).all() and (upper >= np.sort(z @ q)[-10]).sum() < 500
+
+
+def test_many_copies_in_one_batch():
+    r = np.random.default_rng(3)
+    for n, copies in ((400, 300), (5000, 700), (1000, 1000)):
+        z = (1024 * r.normal(size=(n, 8))).astype(np.int64)
+        z[r.permutation(n)[:copies]] = q = z[np.argmax((z * z).sum(axis=1))].copy()
+        ids = r.permutation(n) + 1
+        quant = vs.Quantiser(int(z.min()), int(z.max()), 8)
+        upper = quant.bounds(q).ravel()[quant.cells(z).T + (np.arange(8) * vs.CELLS)[:, None]].sum(axis=0)
+        for own in (-1, int(ids[0])):
+            i, s = ids[ids != own], (z @ q)[ids != own]
+            best = np.lexsort((i, -s))[:10]
+            got = vs._best(q, own, ids, z, upper, 10)
+            assert got[0].tolist() == i[best].tolist() and got[1].tolist() == s[best].tolist()
