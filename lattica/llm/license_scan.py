@@ -1,12 +1,15 @@
 """License scan with a positional rare-token index of licence notices.
 
-The index lists, for each word of the notices, where it stands in which notice.
+The index lists, for the rare words of each notice, where they stand in it.
 Words are weighted by inverse document frequency over all documents (one pass that
-counts the index's words alone, so the table stays as small as the index). A file's
-``RARE`` highest-IDF licence words are looked up; each place votes for notices by
-relative position (place in the file minus place in the notice). A voted alignment
+counts the index's words alone, so the table stays as small as the index). Of each
+notice the rarest words are indexed, as many as hold more than 1 - ``COVER`` of its
+IDF: an alignment that covers ``COVER`` has one of them in place, so every notice of a
+file is found, however many others stand in it. Each of their places in a file votes
+by relative position (place in the file minus place in the notice). A voted alignment
 covers the share of the notice's IDF that stands in place; from ``COVER`` on, and
 if a mandatory key phrase of the notice stands in the aligned stretch, it is found.
+Notices that lack a word of each of their key phrases in the file have no votes.
 
 Base phrases are counted in every whole text, apart from the index. ``score`` is the
 best cover among found notices, 1 where a base phrase stands, else 0.
@@ -27,7 +30,7 @@ from lattica.llm.common import binary
 from lattica.llm.decontaminate import words
 
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-RARE, COVER, SLACK = 8, 0.7, 3
+COVER, SLACK = 0.7, 3
 
 #: label: (notice, mandatory key phrases of which one must stand). Short forms as files carry them.
 NOTICES = [
@@ -61,22 +64,29 @@ NOTICES = [
 class Index:
     def __init__(self, notices, df: dict[bytes, int], n_docs: int):
         self.notices = [(label, words(text.encode()), [b" " + b" ".join(words(k.encode())) + b" " for k in keys]) for label, text, keys in notices]
-        self.postings: dict[bytes, list[tuple[int, int]]] = {}
-        for t, (_, ws, _) in enumerate(self.notices):
-            for q, w in enumerate(ws):
-                self.postings.setdefault(w, []).append((t, q))
-        self.idf = {w: math.log((n_docs + 1) / (df.get(w, 0) + 1)) + 0.1 for w in self.postings}
+        vocab = {w for _, ws, _ in self.notices for w in ws}
+        self.idf = {w: math.log((n_docs + 1) / (df.get(w, 0) + 1)) + 0.1 for w in vocab}
         self.mass = [sum(self.idf[w] for w in ws) for _, ws, _ in self.notices]
+        self.needed = [[set(k.split()) for k in keys] for _, _, keys in self.notices]
+        self.rare: list[list[tuple[bytes, int]]] = []  # by notice: the words of which one must stand in place
+        for (_, ws, _), mass in zip(self.notices, self.mass, strict=True):
+            held, rare = 0.0, []
+            for q in sorted(range(len(ws)), key=lambda q: (-self.idf[ws[q]], q)):
+                if held > (1 - COVER + 1e-9) * mass:
+                    break
+                held += self.idf[ws[q]]
+                rare.append((ws[q], q))
+            self.rare.append(rare)
 
     def scan(self, ws: list[bytes]) -> dict[str, float]:
         """Labels of the notices found, with their cover."""
         places: dict[bytes, list[int]] = {}
-        postings = self.postings
+        vocab = self.idf
         for i, w in enumerate(ws):
-            if w in postings:
+            if w in vocab:
                 places.setdefault(w, []).append(i)
         found: dict[str, float] = {}
-        voted = {(t, p - q) for w in sorted(places, key=lambda w: (-self.idf[w], w))[:RARE] for t, q in postings[w] for p in places[w]}
+        voted = {(t, p - q) for t, rare in enumerate(self.rare) if any(k <= places.keys() for k in self.needed[t]) for w, q in rare for p in places.get(w, ())}
         for t, at in voted:
             label, notice, keys = self.notices[t]
             n = len(ws)

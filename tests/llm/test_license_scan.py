@@ -25,3 +25,34 @@ def test_base_against_brute_force_and_notices(spark):
         assert set(filter(None, got[k].base_labels.split(","))) <= set(filter(None, got[k].labels.split(","))) and 0 <= got[k].score <= 1
     assert [got[k].labels for k in range(1000, 1008)] == ["", "", "mit", "apache-2.0", "cc-by,cc-by-nc-4.0", "gpl,gpl-3.0", "", "mit"]
     assert scan.report(df.limit(0)).count() == 0 and scan.report(df).count() == len(rows)
+
+
+def test_every_notice_of_a_file(spark):
+    notices = [(label, text) for label, text, _ in scan.NOTICES]
+    grant, bsd, free, apache = (next(t for label, t in notices if label == x and t.startswith(y)) for x, y in (("mit", "permission"), ("bsd", "redis"), ("unlicense", "this"), ("apache-2.0", "licensed")))
+    every = ". ".join(t for _, t in notices)
+    vocabulary = " or ".join(sorted({w for _, t in notices for w in t.split()}))
+    rows = [(1, f"{grant}. {bsd}. {free}. {apache}."), (2, every), (3, f"{vocabulary}\n{apache}"), (4, vocabulary)] + [(n, "this work is licensed under the license") for n in range(10, 60)]
+    got = {x.doc_id: x.labels.split(",") for x in scan.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == ["apache-2.0", "bsd", "mit", "unlicense"]
+    assert set(got[2]) >= {label for label, _ in notices}
+    assert "apache-2.0" in got[3] and "apache-2.0" not in got[4]
+
+
+def test_scan_is_exhaustive():
+    r = random.Random(5)
+    vocab = sorted({w for _, t, _ in scan.NOTICES for w in scan.words(t.encode())})
+    index = scan.Index(scan.NOTICES, {w: r.randint(0, 900) for w in vocab}, 1000)
+    for _ in range(60):
+        ws = []
+        for _ in range(r.randint(1, 9)):
+            notice = [w if r.random() < 0.93 else b"x" for w in r.choice(index.notices)[1]]
+            ws += notice + [r.choice([*vocab, b"y"]) for _ in range(r.randint(0, 9))]
+        want = {}
+        for t, (label, notice, keys) in enumerate(index.notices):
+            for at in range(-len(notice), len(ws)):
+                cover = sum(index.idf[w] for q, w in enumerate(notice) if 0 <= at + q < len(ws) and ws[at + q] == w) / index.mass[t]
+                near = b" " + b" ".join(ws[max(0, at - scan.SLACK) : at + len(notice) + scan.SLACK]) + b" "
+                if cover >= scan.COVER and any(k in near for k in keys):
+                    want[label] = max(want.get(label, 0), cover)
+        assert index.scan(ws) == want
