@@ -195,6 +195,13 @@ def features(root: Node) -> tuple[list[Node], np.ndarray]:
                 s[i] += v
         sub[id(node)] = s
     whole, before = max(1, sub[id(root)][0]), 0
+    near: dict[int, tuple[float, dict[str, int]]] = {}  # by parent: mean letters of its children, and how many there are of each tag
+    for node, *_ in order:
+        if node.kids:
+            kinds: dict[str, int] = {}
+            for k in node.kids:
+                kinds[k.tag] = kinds.get(k.tag, 0) + 1
+            near[id(node)] = sum(sub[id(k)][0] for k in node.kids) / len(node.kids), kinds
     x = np.zeros((len(order), len(TAGS) + 2 * len(GROUPS) + len(AROUND) + 14))
     for i, (node, depth, around, bits) in enumerate(order):
         letters, link, tags, stops, nodes = sub[id(node)]
@@ -207,9 +214,8 @@ def features(root: Node) -> tuple[list[Node], np.ndarray]:
         for j in range(len(AROUND)):
             row[at + j] = around >> j & 1
         at += len(AROUND)
-        own = node.parent.kids if node.parent else [node]
-        long = sum(sub[id(k)][0] for k in own) / len(own) if len(own) < 200 else whole / nodes
-        same = sum(k.tag == node.tag for k in own) if len(own) < 200 else len(own)
+        long, kinds = near[id(node.parent)] if node.parent else (letters, {node.tag: 1})
+        same = kinds[node.tag]
         first = next((p.strip() for p in node.parts if isinstance(p, str) and p.strip()), "")
         row[at:] = [
             depth, np.log1p(letters), link / max(1, letters), tags / max(1, letters) * 10, stops / max(1, letters) * 10, len(node.kids), same, np.log1p(long),

@@ -2,6 +2,7 @@ import html
 import re
 
 import duckdb
+import numpy as np
 
 from lattica.llm import html_extract as he
 
@@ -46,3 +47,19 @@ def test_cases(spark):
     assert len(got) == 7 and by[1] == by[2] == by[4] == by[6] == ""
     assert by[3] == "A & B\nOne two three.\nCafé <b> and more text, with words enough to read."
     assert he.report(df.limit(0)).count() == 0
+
+
+def test_many_siblings():
+    text = "Some words of a long article, which goes on for a while and tells of this and that."
+    paragraphs = [f"Paragraph {i}. {text}" for i in range(300)]
+    links = "".join(f'<li><a href="/{i}">Link {i}</a></li>' for i in range(300))
+    page = f"<body><div class='menu'><ul>{links}</ul></div><article><h1>Title of it</h1>{''.join(f'<p>{p}</p>' for p in paragraphs)}</article><footer>&copy; me</footer></body>"
+    root = he.parse(page)
+    nodes, x = he.features(root)
+    letters = lambda n: n.letters + sum(map(letters, n.kids))
+    at = x.shape[1] - 14
+    for n, row in zip(nodes, x, strict=True):
+        own = n.parent.kids if n.parent else [n]
+        assert row[at + 6] == sum(k.tag == n.tag for k in own)
+        assert abs(row[at + 7] - np.log1p(sum(map(letters, own)) / len(own))) < 1e-9
+    assert he.main_text(root, nodes, he.fit().odds(x)) == "\n".join(["Title of it", *paragraphs])
