@@ -7,7 +7,6 @@ small action.
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lattica.functions.dtypes import BOOL, FP64, INT64
@@ -102,31 +101,95 @@ def triangles(a: Matrix) -> int:
     return low.mxm(low.T, "plus_pair").new(mask=low.S).reduce_scalar("plus").new().get(0)
 
 
-def louvain_step(a: Matrix, community: Vector) -> Vector:
-    """One pass of moves: each vertex to the neighbouring community of largest modularity gain."""
-    w = a.df.select("i", "j", F.col("v").cast("double").alias("v")).where("i <> j")
-    total = a.df.agg(F.sum("v").cast("double")).first()[0] or 1.0
-    deg = a.df.groupBy("i").agg(F.sum(F.col("v").cast("double")).alias("d"))
-    c = community.df.withColumnRenamed("v", "c")
+def modularity(a: Matrix, community: Vector) -> float:
+    """Sum over the communities of the share of weight inside less the squared share of degrees."""
+    return _modularity(a.df.groupBy("i", "j").agg(F.sum(F.col("v").cast("double")).alias("v")), community.df.select("i", F.col("v").alias("c")))
+
+
+def _modularity(g, c) -> float:
+    inside = g.join(c, "i").join(c.select(F.col("i").alias("j"), F.col("c").alias("e")), "j")
+    parts = inside.groupBy("c").agg(F.sum("v").alias("vol"), F.sum(F.when(F.col("c") == F.col("e"), F.col("v")).otherwise(0.0)).alias("in"))
+    total, within, squares = parts.agg(F.sum("vol"), F.sum("in"), F.sum(F.col("vol") * F.col("vol"))).first()
+    return within / total - squares / (total * total) if total else 0.0
+
+
+def _moves(g, deg, c, total: float):
+    """(i, own, to, gain) of all moves to a neighbouring community that raise modularity; gain is half the rise."""
     volume = deg.join(c, "i").groupBy("c").agg(F.sum("d").alias("vol"))
-    near = w.join(c.select(F.col("i").alias("j"), "c"), "j").groupBy("i", "c").agg(F.sum("v").alias("k"))
+    near = g.where("i <> j").join(c.select(F.col("i").alias("j"), "c"), "j").groupBy("i", "c").agg(F.sum("v").alias("k"))
     own = c.select("i", F.col("c").alias("own"))
     stay = own.join(near.withColumnRenamed("c", "own"), ["i", "own"], "left").select("i", "own", F.coalesce("k", F.lit(0.0)).alias("k0"))
     x = near.join(deg, "i").join(volume, "c").join(stay, "i").join(volume.select(F.col("c").alias("own"), F.col("vol").alias("vol0")), "own")
     gain = (F.col("k") - F.col("k0")) / total - F.col("d") * (F.col("vol") - F.col("vol0") + F.col("d")) / (total * total)
-    w2 = Window.partitionBy("i").orderBy(F.desc("gain"), "c")
-    best = x.where("c <> own").withColumn("gain", gain).where("gain > 1e-12").withColumn("r", F.row_number().over(w2)).where("r = 1").select("i", F.col("c").alias("to"))
-    # moves only towards smaller labels in a pass, so two vertices cannot swap for ever
-    best = best.join(own, "i").where("to < own").select("i", "to")
-    return Vector.of(c.join(best, "i", "left").select("i", F.coalesce("to", "c").alias("v")), INT64, community.shape)
-
-
-def louvain(a: Matrix, max_passes: int = 20) -> Vector:
-    """Communities of an undirected weighted graph by repeated passes."""
-    c = Vector.of(Vector.of(None, INT64, (a.nrows,)).dense_coords().withColumn("v", F.col("i")), INT64, (a.nrows,))
-    for _ in range(max_passes):
-        new = louvain_step(a, c).checkpoint()
-        if new.isequal(c):
+    return x.where("c <> own").select("i", "own", F.col("c").alias("to"), gain.alias("gain")).where("gain > 1e-12")
+
+
+def _best(moves):
+    """Each vertex's move of largest gain, of equal ones to the smallest label."""
+    m = moves.groupBy("i", "own").agg(F.max(F.struct("gain", (-F.col("to")).alias("to"))).alias("m"))
+    return m.select("i", "own", (-F.col("m.to")).alias("to"), F.col("m.gain").alias("gain"))
+
+
+def _apart(best):
+    """Moves of which no two touch a community in common, so that their gains add up; the largest gain is among them."""
+    key = F.struct("gain", (-F.col("i")).alias("i"))
+    ends = best.select("i", "gain", F.explode(F.array("own", "to")).alias("c"))
+    first = ends.groupBy("c").agg(F.max(key).alias("m")).select((-F.col("m.i")).alias("i"))
+    return best.join(first.groupBy("i").count().where("count = 2").select("i"), "i")
+
+
+def _settle(g, shape: tuple, max_passes: int | None):
+    """(i, c) of a graph's vertices when no single move raises modularity any more.
+
+    A pass moves every vertex at once, by turns to smaller and to larger labels, so that two cannot swap. Together such
+    moves may lower modularity; then only those that do not touch each other are made, which raise it by their sum.
+    """
+    deg = g.groupBy("i").agg(F.sum("v").alias("d")).persist()
+    total = deg.agg(F.sum("d")).first()[0] or 1.0
+    c = Vector.of(deg.select("i", F.col("i").alias("v")), INT64, shape).checkpoint().df.toDF("i", "c")
+    q, turn = _modularity(g, c), 0
+
+    def moved(some):
+        new = c.join(some.select("i", "to"), "i", "left").select("i", F.coalesce("to", "c").alias("v"))
+        new = Vector.of(new, INT64, shape).checkpoint().df.toDF("i", "c")
+        return new, _modularity(g, new)
+
+    while max_passes is None or turn < max_passes:
+        moves = _moves(g, deg, c, total).persist()
+        if not moves.head(1):
             break
-        c = new
-    return c
+        new, r = moved(_best(moves.where("to > own" if turn % 2 else "to < own")))
+        if r <= q + 1e-12:
+            new, r = moved(_apart(_best(moves)))
+        moves.unpersist()
+        if r <= q:
+            break  # a rise too small for a DOUBLE
+        c, q, turn = new, r, turn + 1
+    deg.unpersist()
+    least = c.groupBy("c").agg(F.min("i").alias("least"))
+    return Vector.of(c.join(least, "c").select("i", F.col("least").alias("v")), INT64, shape).checkpoint().df.toDF("i", "c")
+
+
+def louvain_levels(a: Matrix, max_passes: int | None = None) -> list[Vector]:
+    """Each level's communities of the vertices of an undirected weighted graph, by their smallest vertices.
+
+    The communities of a level are the vertices of the next, with the weights between and inside them added up, until
+    a level joins none. max_passes bounds a level's passes; by default each goes on until nothing moves.
+    """
+    g = a.df.groupBy("i", "j").agg(F.sum(F.col("v").cast("double")).alias("v"))
+    found = Vector.of(Vector.of(None, INT64, (a.nrows,)).dense_coords().withColumn("v", F.col("i")), INT64, (a.nrows,))
+    out = []
+    while True:
+        g = Matrix.of(g, FP64, a.shape).checkpoint().df
+        c = _settle(g, found.shape, max_passes)
+        if not c.where("i <> c").head(1):
+            return out or [found]
+        df = found.df.join(c.toDF("v", "c"), "v", "left").select("i", F.coalesce("c", "v").alias("v"))
+        found = Vector.of(df, INT64, found.shape).checkpoint()
+        out.append(found)
+        g = g.join(c, "i").join(c.toDF("j", "e"), "j").groupBy("c", "e").agg(F.sum("v").alias("v")).toDF("i", "j", "v")
+
+
+def louvain(a: Matrix, max_passes: int | None = None) -> Vector:
+    """Communities of an undirected weighted graph: the last of louvain_levels."""
+    return louvain_levels(a, max_passes)[-1]
