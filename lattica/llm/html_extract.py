@@ -13,7 +13,8 @@ read once and never shuffled.
 
 Defined cases: null html is empty; pages without main text give an empty text; tags
 that are not closed, or closed twice, follow the usual repair rules (a block closes an
-open paragraph, an item the last item); a cut-off tag at the end is markup; repeated
+open paragraph, an item the last item; of an unclosed button, svg or the like only the
+start tag is left out, an unclosed script reaches the end of the page); a cut-off tag at the end is markup; repeated
 page_ids are rows of their own.
 """
 
@@ -33,6 +34,7 @@ _ATTR = re.compile(r"(class|id|role|itemprop|data-y)\s*=\s*(?:\"([^\"]*)\"|'([^'
 _NAME = re.compile(r"[a-z]+")
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "select", "button", "object", "head"}
+TEXT = {"script", "style", "textarea", "title"}  # no tags inside; without an end tag they reach the page's end
 BLOCK = set("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 WALL = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
@@ -70,11 +72,31 @@ class Node:
                     self.bits |= TOKEN.get(w, 0)
 
 
+def pairs(page: str) -> dict[int, int]:
+    """Where elements that are left out end, by where their start tags end; those without an end tag are not in it."""
+    at, ends, started = 0, {}, {}
+    while m := _TOKEN.search(page, at):
+        at, tag = m.end(), (m[2] or "").lower()
+        if tag not in RAW:
+            continue
+        if m[1]:
+            if started.get(tag):
+                ends[started[tag].pop()] = at
+        elif not m[3].endswith("/"):
+            if tag in TEXT:
+                close = re.compile(rf"</{tag}\s*(?:>|\Z)", re.I).search(page, at)
+                at = close.end() if close else len(page)
+            else:
+                started.setdefault(tag, []).append(at)
+    return ends
+
+
 def parse(page: str) -> Node:
     """The tree of block elements; inline markup is dissolved."""
     root = node = Node("html", None)
     stack: list[tuple[str, Node]] = []  # open elements with the node they belong to
     at, links, end = 0, 0, len(page)
+    ends = None  # pairs(page), once it is needed
 
     def say(text: str) -> None:
         if text:
@@ -106,8 +128,15 @@ def parse(page: str) -> Node:
         node.tags += 1
         if tag in RAW:
             if not m[3].endswith("/"):
+                if ends is not None and tag not in TEXT:
+                    at = ends.get(at, at)
+                    continue
                 close = re.compile(rf"</{tag}\s*(?:>|\Z)", re.I).search(page, at)
-                at = close.end() if close else (at if tag == "head" else end)
+                if tag in TEXT or (close and not re.compile(rf"<{tag}[\s/>]", re.I).search(page, at, close.start())):
+                    at = close.end() if close else end
+                else:
+                    ends = pairs(page)
+                    at = ends.get(at, at)
             continue
         if tag in VOID:
             if tag in ("br", "hr"):

@@ -63,3 +63,16 @@ def test_many_siblings():
         assert row[at + 6] == sum(k.tag == n.tag for k in own)
         assert abs(row[at + 7] - np.log1p(sum(map(letters, own)) / len(own))) < 1e-9
     assert he.main_text(root, nodes, he.fit().odds(x)) == "\n".join(["Title of it", *paragraphs])
+
+
+def test_left_out_elements_without_end_tag():
+    texts = lambda page: [t for _, t in he.blocks(he.parse(page))]
+    article = "<article><p>One.</p><p>Two.</p></article>"
+    for tag in sorted(he.RAW - he.TEXT):
+        assert texts(f"<div><{tag} class=x></div>{article}") == ["One.", "Two."]
+        assert texts(f"<div><{tag}></div>{article}<{tag}>no</{tag}><p>Three.</p>") == ["One.", "Two.", "Three."]
+        assert texts(f"<{tag}>no<{tag}>no</{tag}>no</{tag}>{article}<{tag}>no</{tag} >") == ["One.", "Two."]
+    for tag in sorted(he.TEXT):
+        assert texts(f"{article}<{tag}><p>no</p>") == ["One.", "Two."]
+    assert texts(f"<script>a = '<button>'</script><button><button>no</button>{article}<script>b = '</button>'</script>") == ["One.", "Two."]
+    assert texts("<button>" * 20_000 + article) == ["One.", "Two."]
