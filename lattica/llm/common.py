@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import functools
 import tempfile
 import uuid
 
@@ -13,6 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+ARROW_BYTES = 4 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -22,13 +26,49 @@ def n_parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+@functools.cache
+def _own_dir() -> str:
+    return tempfile.mkdtemp(prefix="lattica-")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a local one only where that is unset (tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = tempfile.mkdtemp(prefix="lattica-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where
+    """The folder of spark.checkpoint.dir, which driver and executors share.
+
+    Where it is unset, a local session (tests) gets a folder of its own; a cluster
+    has no folder that all can see, so there it is an error.
+    """
+    if where := spark.conf.get("spark.checkpoint.dir", None):
+        return where
+    if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _own_dir()
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Limits the session's Arrow batches to ARROW_BYTES (Spark's own limit is 64 MB a batch, in the JVM and again in Python)."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)) > ARROW_BYTES:
+        spark.conf.set(name, str(ARROW_BYTES))
+
+
+def slabs(batches, limit: int):
+    """The rows of Arrow batches in batches of about ``limit`` bytes."""
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.nbytes
+        if size >= limit:
+            yield _joined(held)
+            held, size = [], 0
+    if held:
+        yield _joined(held)
+
+
+def _joined(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    if len(held) == 1:
+        return held[0]
+    whole = pa.Table.from_batches(held).combine_chunks()
+    return pa.RecordBatch.from_arrays([c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in whole.columns], schema=whole.schema)
 
 
 class Scratch:
@@ -40,6 +80,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, what: str):
+        bound_batches(spark)
         self.spark, self.base = spark, f"{shared_dir(spark).rstrip('/')}/lattica-{what}-{uuid.uuid4().hex}"
         atexit.register(self.close)
 
@@ -50,6 +91,17 @@ class Scratch:
         df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def save_apart(self, df: DataFrame, by: str, name: str) -> dict[str, DataFrame]:
+        """Tables by the values of a string column, written in one pass; each can be dropped alone."""
+        df.write.mode("overwrite").option("compression", "zstd").partitionBy(by).parquet(self.path(name))
+        schema = T.StructType([f for f in df.schema.fields if f.name != by])
+        return {x: self.spark.read.schema(schema).parquet(self.path(f"{name}/{by}={x}")) for x in self._inside(name, by)}
+
+    def _inside(self, name: str, by: str) -> list[str]:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
+        found = p.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(p)
+        return [n.split("=", 1)[1] for n in (s.getPath().getName() for s in found) if n.startswith(f"{by}=")]
+
     def drop(self, name: str = "") -> None:
         jvm, jsc = self.spark._jvm, self.spark._jsc
         p = jvm.org.apache.hadoop.fs.Path(self.path(name) if name else self.base)
@@ -81,6 +133,7 @@ def groups(texts: list[bytes], limit: int = 1 << 19):
 
 def with_columns(df: DataFrame, fields: list[T.StructField], fn) -> DataFrame:
     """Adds columns computed per Arrow batch; fn(batch) -> list of arrays."""
+    bound_batches(df.sparkSession)
     schema = T.StructType(df.schema.fields + fields)
     names = schema.names
 

@@ -39,19 +39,19 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import Scratch, binary, groups, n_parts
+from lattica.llm.common import Scratch, binary, groups, n_parts, slabs
 from lattica.llm.hashing import U, mix, words
 
 K, HOT, BATCH = 5, 1000, 1 << 23
 END = U(0xE5D0C1B2A3948576)
 START = (1 << 32) - 1
-BATCHES = "bid long, doc_id array<long>, held array<boolean>, ends binary, tokens binary, vocab binary, seen binary, part binary"
+BATCHES = "bid long, doc_id array<long>, held array<boolean>, ends binary, tokens binary, part binary, vocab binary, seen binary, counts binary, what string"
 
 
-def _pack(*cols: np.ndarray) -> bytes:
+def _pack(*cols: np.ndarray, level: int = 1) -> bytes:
     """Columns of one length, their bytes by significance and compressed: most are small numbers."""
     planes = [c.view(np.uint8).reshape(len(c), c.itemsize).T.tobytes() for c in map(np.ascontiguousarray, cols)]
-    return zstandard.compress(len(cols[0]).to_bytes(8, "little") + b"".join(planes), 1)
+    return zstandard.compress(len(cols[0]).to_bytes(8, "little") + b"".join(planes), level)
 
 
 def _unpack(data, kinds: str) -> list[np.ndarray]:
@@ -65,13 +65,19 @@ def _unpack(data, kinds: str) -> list[np.ndarray]:
     return out
 
 
+def _by_count(counts: np.ndarray) -> np.ndarray:
+    """A batch's words, the most frequent first: small numbers for most tokens."""
+    return np.argsort(-counts.astype(np.int64), kind="stable")
+
+
 def _split(parts: int):
-    """Batches of rows (doc_id, held, text)."""
+    """Batches of rows (doc_id, held, text), as two rows each: ``tokens`` stays, ``words`` is what the word counts ask."""
     names = [x.split()[0] for x in BATCHES.split(", ")]
+    kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), *[pa.binary()] * 6, pa.string()]
 
     def fn(batches):
         bid = TaskContext.get().partitionId() << 24
-        for batch in batches:
+        for batch in slabs(batches, BATCH):
             ids, held = batch.column(0), np.asarray(batch.column(1).to_pylist(), bool)
             texts = binary(batch.column(2))
             for lo, hi in groups(texts, BATCH):
@@ -84,14 +90,22 @@ def _split(parts: int):
                 sizes = np.concatenate(ends)
                 known = np.repeat(~held[lo:hi], sizes)
                 seen = np.bincount(tokens[known], minlength=len(vocab))
-                part = (mix(vocab) % U(parts)).astype("<u4")
-                cols = [np.cumsum(sizes).astype("<u4"), tokens.astype("<u4"), np.diff(vocab, prepend=U(0)), seen.astype("<u4"), part]
-                yield pa.RecordBatch.from_arrays([pa.array([bid], pa.int64()), pa.array([ids.slice(lo, hi - lo).to_pylist()], pa.list_(pa.int64())), pa.array([held[lo:hi].tolist()], pa.list_(pa.bool_())), *(pa.array([_pack(c)], pa.binary()) for c in cols)], names=names)
+                counts = np.bincount(tokens, minlength=len(vocab))
+                rank = np.empty(len(vocab), "<u4")
+                rank[_by_count(counts)] = np.arange(len(vocab), dtype="<u4")
+                pack = lambda x: _pack(x.astype("<u4"), level=3)
+                keep = [bid, ids.slice(lo, hi - lo).to_pylist(), held[lo:hi].tolist(), pack(np.cumsum(sizes)), pack(rank[tokens]), pack(_part(vocab, parts)), None, None, pack(counts), "tokens"]
+                ask = [bid, None, None, None, None, None, _pack(np.diff(vocab, prepend=U(0))), pack(seen), None, "words"]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(keep, ask, strict=True), kinds, strict=True)], names=names)
                 bid += 1
 
     return fn
 
 
+def _part(vocab: np.ndarray, parts: int) -> np.ndarray:
+    return mix(vocab) % U(parts)
+
+
 def _dealt(bid: int, part: np.ndarray, cols: list[np.ndarray]):
     """(pid, bid, packed columns) of the entries of each partition; the first column, which is sorted, as differences."""
     order = np.argsort(part, kind="stable")
@@ -105,13 +119,18 @@ def _dealt(bid: int, part: np.ndarray, cols: list[np.ndarray]):
     return pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int32()), pa.array([bid] * len(rows), pa.int64()), pa.array([d for _, d in rows], pa.binary())], names=["pid", "bid", "data"])
 
 
-def _ask_words(batches):
-    for batch in batches:
-        for i in range(batch.num_rows):
-            vocab, seen, part = (_unpack(batch.column(j)[i].as_buffer(), t)[0] for j, t in ((1, "<u8"), (2, "<u4"), (3, "<u4")))
-            yield _dealt(batch.column(0)[i].as_py(), part, [np.cumsum(vocab, dtype=U), seen])
+def _ask_words(parts: int):
+    def fn(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                vocab, seen = (_unpack(batch.column(j)[i].as_buffer(), t)[0] for j, t in ((1, "<u8"), (2, "<u4")))
+                vocab = np.cumsum(vocab, dtype=U)
+                yield _dealt(batch.column(0)[i].as_py(), _part(vocab, parts), [vocab, seen])
+
+    return fn
 
 
+SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 ANSWER = "bid long, pid int, data binary, kind int, a long, b long"
 
 
@@ -219,7 +238,8 @@ def _contexts(keys: np.ndarray, hot: np.ndarray, parts: int) -> np.ndarray:
 
 def _batch(batch, i: int, first: int):
     """ends, tokens and part of a joined row."""
-    return (_unpack(batch.column(first + j)[i].as_buffer(), "<u4")[0] for j in range(3))
+    ends, tokens, part, counts = (_unpack(batch.column(first + j)[i].as_buffer(), "<u4")[0] for j in range(4))
+    return ends, _by_count(counts)[tokens], part
 
 
 def _ask_bigrams(parts: int, hot: np.ndarray):
@@ -228,7 +248,7 @@ def _ask_bigrams(parts: int, hot: np.ndarray):
             for i in range(batch.num_rows):
                 held = np.asarray(batch.column(1)[i].as_py(), bool)
                 ends, tokens, part = _batch(batch, i, 2)
-                c, ids = _known(part, batch.column(5)[i].as_py())
+                c, ids = _known(part, batch.column(6)[i].as_py())
                 keys, at = _bigrams(tokens, ends, ids)
                 train = np.repeat(~held, np.diff(ends.astype(np.int64), prepend=0))
                 seen = np.bincount(at[train], minlength=len(keys))
@@ -296,7 +316,7 @@ def _evaluate(uni: Unigrams, bi: Discounts, hot: np.ndarray, hot_sums: np.ndarra
             for i in range(batch.num_rows):
                 held = batch.column(1)[i].as_py()
                 ends, tokens, part = _batch(batch, i, 2)
-                c, ids = _known(part, batch.column(5)[i].as_py())
+                c, ids = _known(part, batch.column(6)[i].as_py())
                 keys, at = _bigrams(tokens, ends, ids)
                 pid = _contexts(keys, hot, parts)
                 order = np.argsort(pid, kind="stable")
@@ -309,7 +329,7 @@ def _evaluate(uni: Unigrams, bi: Discounts, hot: np.ndarray, hot_sums: np.ndarra
                 h = np.minimum(np.searchsorted(hot, v), max(len(hot) - 1, 0)) if len(hot) else np.zeros(len(v), np.int64)
                 is_hot = hot[h] == v if len(hot) else np.zeros(len(v), bool)
                 logp = np.zeros(len(keys))
-                for a in batch.column(6)[i].as_py():
+                for a in batch.column(7)[i].as_py():
                     own = order[cuts[a["pid"]] : cuts[a["pid"] + 1]]
                     n = int.from_bytes(a["data"][:8], "little")
                     r, plain = _unpack(a["data"][8 : 8 + n], "<i8 u1")
@@ -337,15 +357,22 @@ def _free(spark) -> None:
     spark._jvm.System.gc()
 
 
+def _nothing(spark) -> DataFrame:
+    return spark.createDataFrame([], "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+
 def report(docs: DataFrame, held_out: Column) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     scratch, parts = Scratch(spark, "katz"), n_parts(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held"), "text")
-    split = scratch.save(rows.mapInArrow(_split(parts), BATCHES), "batches")
-    asked = split.select("bid", "vocab", "seen", "part").mapInArrow(_ask_words, "pid int, bid long, data binary").repartitionById(parts, "pid")
+    split = scratch.save_apart(rows.mapInArrow(_split(parts), BATCHES), "what", "batches")
+    if not split:
+        return _nothing(spark)
+    asked = split["words"].select("bid", "vocab", "seen").mapInArrow(_ask_words(parts), "pid int, bid long, data binary").repartitionById(parts, "pid")
     told = scratch.save(asked.mapInArrow(_count_words(parts), ANSWER), "words")
     del asked
+    scratch.drop("batches/what=words")
     _free(spark)
 
     def counts(df):
@@ -356,16 +383,20 @@ def report(docs: DataFrame, held_out: Column) -> DataFrame:
     hot = sorted(r.a for r in told.filter(f"kind = 3 and b * {HOT} > {total}").select("a").collect())
     hot = np.array([*hot, START], dtype=U)
     answers = lambda df, name: df.filter("kind = 0").groupBy("bid").agg(F.collect_list(F.struct("pid", "data")).alias(name))
-    batches = split.select("bid", "doc_id", "held", "ends", "tokens", "part")
-    joined = batches.join(answers(told, "words").hint("shuffle_hash"), "bid")
-    asked = joined.select("bid", "held", "ends", "tokens", "part", "words").mapInArrow(_ask_bigrams(parts, hot), "pid int, bid long, data binary").repartitionById(parts, "pid")
+    batches = split["tokens"].select("bid", "doc_id", "held", "ends", "tokens", "part", "counts")
+    # written once more with their words' answers, so the shuffle files go before the bigrams' come
+    batches = scratch.save(batches.join(answers(told, "words").hint("shuffle_hash"), "bid"), "known")
+    for name in ("batches", "words"):
+        scratch.drop(name)
+    _free(spark)
+    asked = batches.select("bid", "held", "ends", "tokens", "part", "counts", "words").mapInArrow(_ask_bigrams(parts, hot), "pid int, bid long, data binary").repartitionById(parts, "pid")
     pairs = scratch.save(asked.mapInArrow(_count_bigrams(uni, hot), ANSWER), "bigrams")
-    del asked, joined
+    del asked
     _free(spark)
     bi = Discounts(counts(pairs))
     hot_sums, place = np.zeros((K + 2, len(hot))), {int(v): i for i, v in enumerate(hot)}
     for r in pairs.filter("kind = 4").select("a", "data").toLocalIterator():
         hot_sums[:, place[r.a]] += np.frombuffer(r.data, "<f8")
-    joined = batches.join(answers(told, "words").hint("shuffle_hash"), "bid").join(answers(pairs, "bigrams").hint("shuffle_hash"), "bid")
-    out = joined.select("doc_id", "held", "ends", "tokens", "part", "words", "bigrams").mapInArrow(_evaluate(uni, bi, hot, hot_sums, parts), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    joined = batches.join(answers(pairs, "bigrams").hint("shuffle_hash"), "bid")
+    out = joined.select("doc_id", "held", "ends", "tokens", "part", "counts", "words", "bigrams").mapInArrow(_evaluate(uni, bi, hot, hot_sums, parts), SCORES)
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

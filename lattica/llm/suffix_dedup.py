@@ -15,8 +15,8 @@ round 1  anchors are grouped by seed name; unique ones are done. Anchors whose
 round 2  what is left of a name's group differs somewhere in its stretches. The
          names of those windows alone are doubled up to ``min_bytes`` and grouped.
 
-Rows travel as packed column blocks, one per Arrow batch and target partition, and
-each batch sends a stretch once, however often it holds it; so a passage that
+Rows travel as packed column blocks, one per batch and target partition, and
+each batch of about ``SLAB`` bytes sends a stretch once, however often it holds it; so a passage that
 stands in a third of all documents puts one row per batch, not per copy, on its
 partition. Nothing is collected to the driver.
 
@@ -36,11 +36,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lattica.llm.common import Scratch, binary, groups, n_parts, with_columns
+from lattica.llm.common import Scratch, binary, groups, n_parts, slabs, with_columns
 from lattica.llm.hashing import U, mix, powers, prefix, substr
 
 LOW = U((1 << 20) - 1)
 PIECE = 1 << 18  # windows handled at once, under 2^20
+SLAB = 1 << 24  # bytes of text whose repeats are found before anything is sent
 MARK = "k long, th long, runs binary, open binary"
 
 
@@ -147,7 +148,7 @@ def _round1_map(parts: int, seed: int, length: int):
     names = ["pid", "data", "k", "th", "runs", "open"]
 
     def fn(batches):
-        for batch in batches:
+        for batch in slabs(batches, SLAB):
             ks, ths = (np.asarray(batch.column(i)) for i in (0, 1))
             texts = binary(batch.column(2))
             got = []
