@@ -108,6 +108,22 @@ def unify(a, b, weak: bool = False) -> DataType:
     return lookup(np.promote_types(numpy_of(a), numpy_of(b)))
 
 
+def _two64() -> Column:
+    return F.lit(str(1 << 64)).cast("decimal(38,0)")
+
+
+def signed(c: Column) -> Column:
+    """A UINT64 column's bits as a signed 64-bit integer."""
+    d = c.cast("decimal(38,0)")
+    return F.when(d > (1 << 63) - 1, d - _two64()).otherwise(d).cast("long")
+
+
+def unsigned(c: Column) -> Column:
+    """The reverse of signed."""
+    d = c.cast("decimal(38,0)")
+    return F.when(d < 0, d + _two64()).otherwise(d).cast(UINT64.spark)
+
+
 def wide(c: Column, t: DataType) -> Column:
     """The column in which integer arithmetic of t is done."""
     return c.cast("decimal(38,0)") if t == UINT64 else c.cast("long") if t.kind in "iu" else c
@@ -119,7 +135,7 @@ def wrap(c: Column, t: DataType) -> Column:
         s = 64 - t.bits
         return F.call_function("shiftright", F.call_function("shiftleft", c.cast("long"), F.lit(s)), F.lit(s)).cast(t.spark)
     if t == UINT64:
-        return F.pmod(c, F.lit(2**64).cast("decimal(38,0)")).cast(t.spark)
+        return F.pmod(c.cast("decimal(38,0)"), _two64()).cast(t.spark)
     if t.kind == "u":
         return c.cast("long").bitwiseAND(F.lit((1 << t.bits) - 1)).cast(t.spark)
     return c.cast(t.spark)
@@ -147,11 +163,13 @@ def cast(c: Column, src: DataType, dst: DataType) -> Column:
     if src.kind == "b":
         return c.cast("int").cast(dst.spark)
     if src.kind == "f" and dst.kind in "iu":
-        lim = 2.0 ** (64 if dst == UINT64 else 63)
+        lim = 2.0**64 if dst == UINT64 else 2.0**63
         safe = F.when(F.isnan(c), 0.0).when(c >= lim, F.lit(lim if dst == UINT64 else 9223372036854774784.0)).when(c <= -lim, -lim).otherwise(c.cast("double"))
         return wrap(safe.cast("decimal(38,0)") if dst == UINT64 else safe.cast("long"), dst)
     if dst.kind in "iu":
-        return wrap(wide(c, UINT64 if UINT64 in (src, dst) else INT64), dst) if src != UINT64 else wrap(F.when(c > 2**63 - 1, c.cast("decimal(38,0)") - F.lit(2**64).cast("decimal(38,0)")).otherwise(c).cast("decimal(38,0)"), UINT64).cast(dst.spark) if dst == UINT64 else wrap(F.when(c > 2**63 - 1, c.cast("decimal(38,0)") - F.lit(2**64).cast("decimal(38,0)")).otherwise(c.cast("decimal(38,0)")).cast("long"), dst)
+        if src == UINT64:
+            return wrap(signed(c), dst)
+        return unsigned(c.cast("long")) if dst == UINT64 else wrap(c.cast("long"), dst)
     return c.cast(dst.spark)
 
 

@@ -12,10 +12,12 @@ import math
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lattica.exceptions import UdfParseError
 from lattica.functions import dtypes as dt
 from lattica.functions import semantics as sem
 from lattica.functions.dtypes import BOOL, FC32, FC64, FP32, FP64, INT64, DataType
@@ -195,9 +197,7 @@ def _u(name: str, fn, types="biuf", inner=lambda t: t, outer=lambda t: t, **meta
 
 
 def _udf(fn, kind: str = "double"):
-    """A scalar math function as an Arrow-batched UDF."""
-    import pandas as pd
-
+    """A scalar math function as an Arrow-batched UDF (its annotations are read from this module's names)."""
     @F.pandas_udf(kind)
     def run(*cols: pd.Series) -> pd.Series:
         return pd.Series([fn(*v) for v in zip(*cols, strict=True)])
@@ -205,6 +205,11 @@ def _udf(fn, kind: str = "double"):
     return run
 
 
+def _bits(f, t: DataType, *cols: Column) -> Column:
+    """f of integers' bits; UINT64 goes through its signed twin."""
+    return dt.unsigned(f(*map(dt.signed, cols))) if t == dt.UINT64 else f(*cols)
+
+
 def _safe(fn):
     def run(*v):
         try:
@@ -241,7 +246,7 @@ _u("ainv", _ainv, "biufc")
 _u("minv", _minv)
 _u("abs", lambda x, t: F.hypot(x["re"], x["im"]) if _isc(t) else x if t.kind in "bu" else F.abs(x), "biufc", outer=lambda t: FP64 if t == FC64 else FP32 if t == FC32 else t)
 _u("lnot", lambda x, t: _as(~dt.truth(x, t), t))
-_u("bnot", lambda x, t: F.lit(2**64 - 1).cast("decimal(38,0)") - x if t == dt.UINT64 else F.bitwise_not(x), "iu")
+_u("bnot", lambda x, t: _bits(lambda a: F.bitwise_not(a), t, x), "iu")
 
 
 def _as(c: Column, t: DataType) -> Column:
@@ -349,7 +354,7 @@ def _nanmax(x, y, t):
 BINARY["first"] = BinaryOp("first", lambda x, y, tx, ty: x, "biufco", meta={"raw": lambda a, b: a, "swap": "second"})
 BINARY["second"] = BinaryOp("second", lambda x, y, tx, ty: y, "biufco", meta={"raw": lambda a, b: b, "swap": "first"})
 _b("any", lambda x, y, t: y, "biufco")
-_b("pair", lambda x, y, t: dt.lit(1, t), "biufc")
+_b("pair", lambda x, y, t: dt.lit(1, INT64 if t.kind == "o" else t), "biufco", outer=lambda t: INT64 if t.kind == "o" else t)
 BINARY["oneb"] = BINARY["pair"]
 _b("plus", _plus, "biufc")
 _b("minus", _minus, "biufc", swap="rminus")
@@ -391,15 +396,21 @@ _LOGIC = {"lor": lambda a, b: a | b, "land": lambda a, b: a & b, "lxor": lambda
 for _n, _f in _LOGIC.items():
     _b(_n, lambda x, y, t, f=_f: _as(f(dt.truth(x, t), dt.truth(y, t)), t))
 for _n, _f in {"bor": lambda x, y: x.bitwiseOR(y), "band": lambda x, y: x.bitwiseAND(y), "bxor": lambda x, y: x.bitwiseXOR(y), "bxnor": lambda x, y: F.bitwise_not(x.bitwiseXOR(y))}.items():
-    _b(_n, lambda x, y, t, f=_f: f(x, y), "iu")
+    _b(_n, lambda x, y, t, f=_f: _bits(f, t, x, y), "iu")
 _bit = lambda y: F.call_function("shiftleft", F.lit(1).cast("long"), (y - 1).cast("int"))
 _inrange = lambda y, t: (y >= 1) & (y <= t.bits)
-_b("bget", lambda x, y, t: F.when(_inrange(y, t), (x.bitwiseAND(_bit(y)) != 0).cast("long")).otherwise(0), "iu")
-_b("bset", lambda x, y, t: F.when(_inrange(y, t), x.bitwiseOR(_bit(y))).otherwise(x), "iu")
-_b("bclr", lambda x, y, t: F.when(_inrange(y, t), x.bitwiseAND(F.bitwise_not(_bit(y)))).otherwise(x), "iu")
+_b("bget", lambda x, y, t: _bits(lambda a, b: F.when(_inrange(b, t), (a.bitwiseAND(_bit(b)) != 0).cast("long")).otherwise(0), t, x, y), "iu")
+_b("bset", lambda x, y, t: _bits(lambda a, b: F.when(_inrange(b, t), a.bitwiseOR(_bit(b))).otherwise(a), t, x, y), "iu")
+_b("bclr", lambda x, y, t: _bits(lambda a, b: F.when(_inrange(b, t), a.bitwiseAND(F.bitwise_not(_bit(b)))).otherwise(a), t, x, y), "iu")
 
 
 def _bshift(x, y, t):
+    if t == dt.UINT64:  # a negative count arrives as its unsigned twin
+        a, k = dt.signed(x), dt.signed(y)
+        n = F.least(F.abs(k), F.lit(63)).cast("int")
+        left = F.when(k >= 64, F.lit(0)).otherwise(F.call_function("shiftleft", a, n))
+        right = F.when(k <= -64, F.lit(0)).otherwise(F.call_function("shiftrightunsigned", a, n))
+        return dt.unsigned(F.when(k >= 0, left).otherwise(right))
     n = F.least(F.abs(y), F.lit(63)).cast("int")
     left = F.when(y >= t.bits, F.lit(0)).otherwise(F.call_function("shiftleft", x, n))
     right = F.when(y <= -t.bits, F.when(x < 0, F.lit(-1)).otherwise(F.lit(0))).otherwise(F.call_function("shiftright", x, n))
@@ -427,8 +438,8 @@ _b("gcd", lambda x, y, t: _udf(math.gcd, "long")(x, y), "iu")
 _b("lcm", lambda x, y, t: _udf(math.lcm, "long")(x, y), "iu")
 _b("nextafter", lambda x, y, t: _udf(math.nextafter)(x.cast("double"), y.cast("double")), inner=_float_of)
 _b("float_power", lambda x, y, t: F.pow(x, y), inner=lambda t: FP64)
-_b("left_shift", lambda x, y, t: F.when(y >= t.bits, F.lit(0)).otherwise(F.call_function("shiftleft", x, y.cast("int"))), "iu")
-_b("right_shift", lambda x, y, t: F.call_function("shiftright", x, F.least(y, F.lit(63)).cast("int")), "iu")
+_b("left_shift", lambda x, y, t: F.when(y >= t.bits, F.lit(0)).otherwise(_bits(lambda a, b: F.call_function("shiftleft", a, b.cast("int")), t, x, F.least(y, F.lit(63)))), "iu")
+_b("right_shift", lambda x, y, t: F.when((y >= t.bits) & F.lit(t.kind == "u"), F.lit(0)).otherwise(_bits(lambda a, b: F.call_function("shiftrightunsigned" if t == dt.UINT64 else "shiftright", a, b.cast("int")), t, x, F.least(y, F.lit(63)))), "iu")
 _at = {"firsti": lambda a: a["ix"], "firstj": lambda a: a["jx"], "secondi": lambda a: a["iy"], "secondj": lambda a: a["jy"]}
 for _n, _f in _at.items():
     BINARY[_n] = BinaryOp(_n, _f, "biufco", positional=True, meta={"coords": True, "swap": ("second" if _n.startswith("first") else "first") + ("j" if _n.endswith("i") else "i")})
@@ -575,17 +586,17 @@ _m("land", lambda v, t: _as(F.bool_and(dt.truth(v, t)), t), lambda t: True, True
 _m("lxor", lambda v, t: _as(_parity(v, t) == 1, t), lambda t: False)
 _m("lxnor", lambda v, t: _as((F.count(F.lit(1)) - F.sum(dt.truth(v, t).cast("int"))) % 2 == 0, t), lambda t: True)
 _m("eq", lambda v, t: (F.count(F.lit(1)) - F.sum(v.cast("int"))) % 2 == 0, lambda t: True, types="b")
-_m("bor", lambda v, t: F.bit_or(v), lambda t: 0, True, "iu")
-_m("band", lambda v, t: F.bit_and(v), lambda t: -1 if t.kind == "i" else (1 << t.bits) - 1, True, "iu")
-_m("bxor", lambda v, t: F.bit_xor(v), lambda t: 0, False, "iu")
-_m("bxnor", lambda v, t: F.when(F.count(F.lit(1)) % 2 == 1, F.bit_xor(v)).otherwise(F.bitwise_not(F.bit_xor(v))), lambda t: -1 if t.kind == "i" else (1 << t.bits) - 1, False, "iu")
+_m("bor", lambda v, t: _bits(F.bit_or, t, v), lambda t: 0, True, "iu")
+_m("band", lambda v, t: _bits(F.bit_and, t, v), lambda t: -1 if t.kind == "i" else (1 << t.bits) - 1, True, "iu")
+_m("bxor", lambda v, t: _bits(F.bit_xor, t, v), lambda t: 0, False, "iu")
+_m("bxnor", lambda v, t: _bits(lambda a: F.when(F.count(F.lit(1)) % 2 == 1, F.bit_xor(a)).otherwise(F.bitwise_not(F.bit_xor(a))), t, v), lambda t: -1 if t.kind == "i" else (1 << t.bits) - 1, False, "iu")
 _m("maximum", lambda v, t: F.bool_or(v) if t.kind == "b" else F.max(v), lambda t: _limit(t, True), True)
 _m("minimum", lambda v, t: F.bool_and(v) if t.kind == "b" else F.when(F.bool_or(F.isnan(v)), sem.nan()).otherwise(F.min(v)) if t.kind == "f" else F.min(v), lambda t: _limit(t, False), True)
 _m("hypot", lambda v, t: F.sqrt(F.sum(v.cast("double") * v)), lambda t: 0, types="iuf")
 
 
 def _logsum(v, base=1.0):
-    """log(sum(exp(v))) in one pass: three sums of shifted exponentials, of which the largest value picks one."""
+    """log(sum(exp(v))) in one expression, for values within +-1200; ``collection.folded`` is exact for all values."""
     v = v.cast("double") * base
     top, shift = F.max(v), 600.0
     at = lambda s: F.ln(F.sum(F.exp(F.least(v - s, F.lit(700.0))))) + s
@@ -602,8 +613,6 @@ NUMPY_MONOID = {
 
 
 def _gcd_agg(v):
-    import pandas as pd
-
     @F.pandas_udf("long")
     def run(s: pd.Series) -> int:
         return math.gcd(*(int(x) for x in s))
@@ -653,13 +662,21 @@ def get_semiring(monoid, binaryop) -> Semiring:
     return Semiring(as_monoid(monoid), as_binary(binaryop))
 
 
+SEMIRINGS: dict[str, Semiring] = {}
+
+
+def register_semiring(name, monoid, binaryop) -> Semiring:
+    """A semiring under a name of its own."""
+    return SEMIRINGS.setdefault(name, get_semiring(monoid, binaryop))
+
+
 # ---------------------------------------------------------------- names
 
 _SYMBOL = {
     "+": "plus", "-": "minus", "*": "times", "/": "truediv", "//": "floordiv", "%": "numpy_mod", "**": "pow", "&": "land", "|": "lor", "^": "lxor",
     "==": "eq", "!=": "ne", "<": "lt", ">": "gt", "<=": "le", ">=": "ge", "<<": "left_shift", ">>": "right_shift", "@": "plus_times",
 }
-_USYMBOL = {"-": "ainv", "~": "lnot", "+": "identity"}
+_USYMBOL = {"-": "ainv", "~": "lnot"}
 
 
 def _typed(name: str):
@@ -726,6 +743,8 @@ def as_semiring(x):
         return x
     if isinstance(x, str):
         n, t = _typed(x)
+        if n in SEMIRINGS:
+            return _pin(SEMIRINGS[n], t)
         if n == "@":
             n = "plus_times"
         if "." in n and "_" not in n:
@@ -754,13 +773,27 @@ def _out(t):
     return (lambda _: dt.lookup(t)) if t is not None else (lambda w: w)
 
 
+def _checked(fn, n: int):
+    """fn, if it turns n columns into a column."""
+    try:
+        out = fn(*(F.col(f"c{i}") for i in range(n)))
+    except Exception as e:
+        raise UdfParseError(f"{getattr(fn, '__name__', fn)} does not take {n} columns: {e}") from e
+    if not isinstance(out, Column):
+        raise UdfParseError(f"{getattr(fn, '__name__', fn)} does not give a column")
+    return fn
+
+
 def register_unary(name, fn, dtype=None):
     """fn: Column -> Column. Without a name the operator is anonymous."""
+    _checked(fn, 1)
     o = UnaryOp(name or getattr(fn, "__name__", "lambda"), lambda x, t: fn(x), "biufco", outer=_out(dtype))
     return UNARY.setdefault(name, o) if name else o
 
 
 def register_binary(name, fn, dtype=None):
+    """fn: (Column, Column) -> Column."""
+    _checked(fn, 2)
     o = BinaryOp(name or getattr(fn, "__name__", "lambda"), lambda x, y, t: fn(x, y), "biufco", outer=_out(dtype))
     return BINARY.setdefault(name, o) if name else o
 

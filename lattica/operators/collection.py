@@ -35,6 +35,35 @@ def _plain(x):
     return x.item() if isinstance(x, np.generic) else x
 
 
+def fixed(df: DataFrame) -> DataFrame:
+    """df written once to the session's checkpoint folder: later uses read the same rows, and lineage ends here."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        if not sc.master.startswith("local") or "cluster" in sc.master:
+            raise InvalidValue("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        import tempfile
+
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="lattica-"))
+    return df.checkpoint()
+
+
+def folded(df: DataFrame, keys: list[str], by, t, at: Column | None = None) -> DataFrame:
+    """One aggregation of v (of type t) per key by a monoid or an aggregator, with map-side parts.
+
+    logaddexp shifts by each group's largest value, which is one more aggregate and a join.
+    """
+    base = {"logaddexp": 1.0, "logaddexp2": math.log(2)}.get(by.name)
+    if base is None:
+        f = by.reduce(F.col("v"), t) if at is None else by.reduce(F.col("v"), t, at)
+        return df.groupBy(*keys).agg(f.alias("v")) if keys else df.agg(f.alias("v"), F.count(F.lit(1)).alias("n")).where("n > 0").select("v")
+    df = df.select(*keys, dt.cast(F.col("v"), t, FP64).alias("v"))
+    top = df.groupBy(*keys).agg(F.max("v").alias("top"))
+    df = df.join(top, keys) if keys else df.crossJoin(F.broadcast(top))  # one row
+    part = F.when(F.col("v") == F.col("top"), 1.0).otherwise(F.exp((F.col("v") - F.col("top")) * base))
+    out = df.groupBy(*keys).agg((F.max("top") + F.ln(F.sum(part)) / base).cast(by.result(t).spark).alias("v"), F.count(F.lit(1)).alias("n"))
+    return out.where("n > 0").select(*keys, "v")
+
+
 class Collection:
     KEYS: list[str] = []
 
@@ -101,11 +130,7 @@ class Collection:
 
     def checkpoint(self):
         """Cuts the lineage, for loops: rows go to the session's checkpoint folder."""
-        if not self.df.sparkSession.sparkContext.getCheckpointDir():
-            import tempfile
-
-            self.df.sparkSession.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lattica-"))
-        self.df = self.df.checkpoint()
+        self.df = fixed(self.df)
         return self
 
     def dup(self, dtype=None, *, clear: bool = False, mask=None, name=None):
@@ -149,7 +174,10 @@ class Collection:
     # -------------------------------------------------------------- writing
 
     def __call__(self, *args, mask=None, accum=None, replace: bool = False, input_mask=None):
-        return Updater(self, *_args(args, mask, accum, replace), input_mask)
+        mask, accum, replace = _args(args, mask, accum, replace)
+        if replace and mask is None and input_mask is None:
+            raise TypeError("replace needs a mask")
+        return Updater(self, mask, accum, replace, input_mask)
 
     def __lshift__(self, expr):
         Updater(self, None, None, False) << expr
@@ -192,6 +220,8 @@ class Collection:
 
     def _source(self, expr, mask, replace, accum):
         """(rows, type) of the right side; the mask goes into it where that changes nothing else."""
+        if isinstance(expr, Updater):
+            expr = expr._extract()
         if isinstance(expr, Infix):
             expr = expr._default()
         if isinstance(expr, Expr):
@@ -337,13 +367,15 @@ class Collection:
             if g.name in ("argmin", "argmax", "first_index", "last_index") and len(a.KEYS) > 1:
                 raise ValueError(f"{g.name} needs one axis")
             at = F.col("i") if len(a.KEYS) == 1 else F.struct(*a.KEYS)
-            return Expr(Scalar, g.result(a.dtype), (), lambda keep: a.df.agg(g.reduce(F.col("v"), a.dtype, at).alias("v"), F.count(F.lit(1)).alias("n")).where("n > 0").select("v"), g.name)
+            return Expr(Scalar, g.result(a.dtype), (), lambda keep: folded(a.df, [], g, a.dtype, at), g.name)
         m = ops.as_monoid(op)
         t = m.result(a.dtype)
 
         def make(keep):
+            if allow_empty or m.name.startswith("logaddexp"):
+                return folded(a.df, [], m, a.dtype)
             df = a.df.agg(m.reduce(F.col("v"), a.dtype).alias("v"), F.count(F.lit(1)).alias("n"))
-            return df.where("n > 0").select("v") if allow_empty else df.select(F.when(F.col("n") > 0, F.col("v")).otherwise(dt.lit(m.identity(t), t)).alias("v"))
+            return df.select(F.when(F.col("n") > 0, F.col("v")).otherwise(dt.lit(m.identity(t), t)).alias("v"))
 
         return Expr(Scalar, t, (), make, m.name)
 
@@ -376,9 +408,52 @@ class Collection:
     def __hash__(self):
         return id(self)
 
-    def __repr__(self) -> str:
+    #: Entries shown by repr.
+    SHOWN = 8
+
+    def _head(self) -> str:
         return f"{type(self).__name__}({self.dtype}, shape={self.shape})"
 
+    def _sample(self) -> list[tuple]:
+        """A few entries, and whether there are more; runs a job."""
+        return [(*(r[k] for k in self.KEYS), _native(r.v)) for r in self.df.limit(self.SHOWN + 1).collect()]
+
+    def __repr__(self) -> str:
+        rows = self._sample()
+        cells = [f"  {', '.join(map(str, r[:-1]))}: {r[-1]}" if len(r) > 1 else f"  {r[0]}" for r in rows[: self.SHOWN]]
+        return "\n".join([self._head(), *cells, *(["  ..."] if len(rows) > self.SHOWN else [])])
+
+    def _repr_html_(self) -> str:
+        from html import escape
+
+        rows = self._sample()
+        body = "".join("<tr>" + "".join(f"<td>{escape(str(x))}</td>" for x in r) + "</tr>" for r in rows[: self.SHOWN])
+        names = "".join(f"<th>{k}</th>" for k in (*self.KEYS, "value"))
+        more = "<div>...</div>" if len(rows) > self.SHOWN else ""
+        return f"<div><b>{escape(self._head())}</b><table><tr>{names}</tr>{body}</table>{more}</div>"
+
+    def __reduce__(self):
+        import pyarrow as pa
+
+        table = self.df.toArrow()
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema) as out:
+            out.write_table(table)
+        return restored, (type(self), self.dtype.name, self.dtype.spark.json(), self.shape, sink.getvalue().to_pybytes())
+
+
+def restored(kind: type, name: str, spark: str, shape: tuple, data: bytes):
+    """A collection from what pickle keeps of it: its rows as an Arrow stream."""
+    import json
+
+    import pyarrow as pa
+
+    t = dt.register(name, T.StructType.fromJson({"type": "struct", "fields": [{"name": "v", "type": json.loads(spark), "nullable": True, "metadata": {}}]})["v"].dataType)
+    with pa.ipc.open_stream(data) as rows:
+        table = rows.read_all()
+    schema = T.StructType([*(T.StructField(k, T.LongType()) for k in kind.KEYS), T.StructField("v", t.spark)])
+    return kind.of(session().createDataFrame(table, schema), t, shape)
+
 
 def _copy(c):
     """The collection as it is now."""
@@ -386,7 +461,7 @@ def _copy(c):
 
 
 def _both(a, b):
-    fix = lambda c: c.new() if isinstance(c, Expr | Infix | Transposed) else c
+    fix = lambda c: c.new() if isinstance(c, Expr | Infix | Transposed | Updater) else c
     a, b = fix(a), fix(b)
     if not isinstance(b, Collection):
         raise TypeError(f"not a collection: {b!r}")
@@ -412,8 +487,6 @@ def _args(args, mask, accum, replace):
         else:
             accum = a
     mask = masks.check(mask.new() if isinstance(mask, Expr) else mask)
-    if replace and mask is None:
-        raise TypeError("replace needs a mask")
     return mask, accum, replace
 
 
@@ -431,6 +504,8 @@ def _broadcast(a, b, f, how, defaults=(None, None)) -> Expr:
             x, y = (F.col("m"), F.col("v")) if key == "j" else (F.col("v"), F.col("m"))
             return _kept(m, keep).select("i", "j", f.compute(x, y, a.dtype, b.dtype, mat._coords()).alias("v"))
         n = mat.shape[0 if key == "j" else 1]
+        if n * mat.shape[1 if key == "j" else 0] > MAX_DENSE and n * vec.nvals > MAX_DENSE:
+            raise InvalidValue(f"{n} x {vec.nvals} cells would be filled")
         full = vdf.crossJoin(vdf.sparkSession.range(n).toDF(other)).select("i", "j", "v")
         dense = Matrix.of(full, vec.dtype, mat.shape)
         pair = (mat, dense) if key == "j" else (dense, mat)
@@ -444,11 +519,16 @@ for _n, _op, _how in (("add", "plus", "|"), ("sub", "minus", "u"), ("mul", "time
                       ("lt", "lt", "&"), ("gt", "gt", "&"), ("le", "le", "&"), ("ge", "ge", "&"), ("eq", "eq", "&"), ("ne", "ne", "&"), ("xor", "lxor", "|")):
 
     def _infix(self, other, op=_op, how=_how):
+        if isinstance(other, Updater):
+            other = other.new()
         if isinstance(other, Collection | Expr | Infix | Transposed) and not isinstance(other, Scalar):
             if op == "lxor" and self.dtype.kind != "b":
                 raise TypeError("^ is for BOOL")
             return self.ewise_union(other, op, 0, 0) if how == "u" else self.ewise_add(other, op) if how == "|" else self.ewise_mult(other, op)
-        return self.apply(op, right=other)
+        out = self.apply(op, right=other)
+        if op in ("lt", "gt", "le", "ge", "eq", "ne"):
+            out.compared = (_copy(self), op, other.value if isinstance(other, Scalar) else other)
+        return out
 
     setattr(Collection, f"__{_n}__", _infix)
     if _n not in ("lt", "gt", "le", "ge", "eq", "ne"):
@@ -456,6 +536,27 @@ for _n, _op, _how in (("add", "plus", "|"), ("sub", "minus", "u"), ("mul", "time
         setattr(Collection, f"__i{_n}__", (lambda self, other: (Updater(self, None, "plus", False) << (other if isinstance(other, Collection | Expr) else self.apply("second", right=other)), self)[1]) if _n == "add" else (lambda self, other, op=_n: (self << getattr(self, f"__{op}__")(other), self)[1]))
 
 
+def _inplace(name: str, op: str, how: str):
+    def run(self, other):
+        if isinstance(other, Updater):
+            other = other.new()
+        both = isinstance(other, Collection | Expr | Infix | Transposed) and not isinstance(other, Scalar)
+        e = (getattr(self, how)(other, op) if both else self.apply(op, right=other))
+        if e.dtype.kind != "b":
+            raise TypeError(f"{name} is for BOOL")
+        self << e
+        return self
+
+    return run
+
+
+Collection.__iand__ = _inplace("&=", "land", "ewise_mult")
+Collection.__ior__ = _inplace("|=", "lor", "ewise_add")
+Collection.__imatmul__ = lambda self, other: (self << (self @ other), self)[1]
+Collection.__divmod__ = lambda self, other: (self // other, self % other)
+Collection.__rdivmod__ = lambda self, other: (other // self, other % self)
+
+
 class Updater:
     """The left side ``C(mask, accum, replace)``, with or without indices."""
 
@@ -481,18 +582,36 @@ class Updater:
         if self.at is not None:
             self.target._assign(self.at, expr, self.mask, self.accum, self.replace, self.sub)
             return
-        t, t_type = self.target._source(expr, self.mask, self.replace, self.accum)
-        self.target._write(t, t_type, self.accum, self.mask, self.replace)
+        mask = self.mask
+        if self.input_mask is not None:
+            if mask is not None:
+                raise TypeError("mask and input_mask exclude each other")
+            if not isinstance(expr, Updater):
+                raise TypeError("input_mask is for C << A[I, J]")
+            mask = expr._mask_of(masks.check(self.input_mask))
+        if self.replace and mask is None:
+            raise TypeError("replace needs a mask")
+        t, t_type = self.target._source(expr, mask, self.replace, self.accum)
+        self.target._write(t, t_type, self.accum, mask, self.replace)
 
     update = __lshift__
 
     # reading: C[I, J] is an expression until it is written to
     def _extract(self) -> Expr:
+        if self.at is None:
+            raise TypeError("C(mask, accum) is only written to")
         return self.target._extract(self.at)
 
+    def _mask_of(self, input_mask: masks.Mask) -> masks.Mask:
+        """A mask over what is read from, in the numbering of what is read."""
+        if input_mask.shape != self.target.shape:
+            raise DimensionMismatch(f"input_mask of {input_mask.shape} for {self.target.shape}")
+        return masks.Mask(input_mask.parent[self.at].new(), input_mask.value, input_mask.complement)
+
     def new(self, dtype=None, *, mask=None, input_mask=None, name=None):
-        e = self._extract() if input_mask is None else self.target.dup(mask=input_mask)._extract(self.at)
-        return e.new(dtype, mask=mask)
+        if mask is not None and input_mask is not None:
+            raise TypeError("mask and input_mask exclude each other")
+        return self._extract().new(dtype, mask=masks.check(mask) if input_mask is None else self._mask_of(masks.check(input_mask)))
 
     def __getattr__(self, name):
         if name.startswith("_") or self.__dict__.get("at") is None:
@@ -500,6 +619,11 @@ class Updater:
         return getattr(self._extract(), name)
 
 
+for _n in ("and", "or", "matmul", "add", "sub", "mul", "truediv", "floordiv", "mod", "pow", "xor", "lt", "gt", "le", "ge", "eq", "ne", "neg", "abs", "invert", "radd", "rsub", "rmul", "rtruediv", "rfloordiv", "rmod", "rpow", "divmod", "iter", "contains"):
+    setattr(Updater, f"__{_n}__", lambda self, *a, _n=_n: getattr(self.new(), f"__{_n}__")(*a))
+Updater.__hash__ = object.__hash__
+
+
 class _Grid(Collection):
     """What Matrix and Vector share."""
 
@@ -533,8 +657,8 @@ class _Grid(Collection):
             df = a.df
             for x, k in zip(axes, a.KEYS, strict=True):
                 df = x.place(df, k)
-            left = [c for c in df.columns if c != "v"]
-            df = df.select(*(F.col(c).alias(n) for c, n in zip(left, ("i", "j"), strict=False)), "v")
+            left = [k for x, k in zip(axes, a.KEYS, strict=True) if not x.is_int]
+            df = df.select(*(F.col(k).alias(n) for k, n in zip(left, ("i", "j"), strict=False)), "v")
             return _kept(df, keep)
 
         return Expr((Scalar, Vector, Matrix)[len(shape)], a.dtype, shape, make, "extract")
@@ -602,6 +726,9 @@ class _Grid(Collection):
     def __contains__(self, at) -> bool:
         return self[at].new().nvals > 0
 
+    def __array__(self, *a, **k):
+        raise TypeError("to_dense or to_coo gives arrays")
+
     def get(self, *at, default=None):
         v = self._extract(at if len(at) > 1 else at[0]).new().value
         return default if v is None else v
@@ -650,8 +777,12 @@ class _Grid(Collection):
             schema = T.StructType([*(T.StructField(k, T.LongType()) for k in cls.KEYS), T.StructField("v", src.spark)])
             df = session().createDataFrame([(*(int(x) for x in p[:-1]), conv(p[-1])) for p in zip(*coords, values, strict=True)], schema)
         else:
+            import pyarrow as pa
+
             schema = T.StructType([*(T.StructField(k, T.LongType()) for k in cls.KEYS), T.StructField("v", src.spark)])
-            df = session().createDataFrame([(*map(int, p[:-1]), _plain(p[-1])) for p in zip(*coords, np.asarray(values), strict=True)], schema)
+            arrow = {"b": pa.bool_(), "f": pa.float32() if src.bits == 32 else pa.float64()}.get(src.kind) or {8: pa.int16() if src.kind == "u" else pa.int8(), 16: pa.int32() if src.kind == "u" else pa.int16(), 32: pa.int64() if src.kind == "u" else pa.int32(), 64: pa.int64()}[src.bits]
+            vals = pa.array(np.asarray(values)).cast(arrow)
+            df = session().createDataFrame(pa.table([*(pa.array(c) for c in coords), vals], names=[*cls.KEYS, "v"]), schema)
         df = df.withColumn("v", dt.cast(F.col("v"), src, t))
         if dup_op is not None:
             m = ops.as_monoid(dup_op) if not callable(dup_op) or isinstance(dup_op, ops.Op | ops.Monoid) else ops.register_monoid(None, dup_op, 0)
@@ -747,7 +878,7 @@ class Vector(_Grid):
         def make(keep):
             z = s.binaryop.compute(F.col("x"), F.col("y"), u.dtype, w.dtype, u._coords())
             df = u._pairs(w, "inner").select(z.alias("v"))
-            return df.agg(s.monoid.reduce(F.col("v"), s.binaryop.out(u.dtype, w.dtype)).alias("v"), F.count(F.lit(1)).alias("n")).where("n > 0").select("v")
+            return folded(df, [], s.monoid, s.binaryop.out(u.dtype, w.dtype))
 
         return Expr(Scalar, s.out(u.dtype, w.dtype), (), make, f"inner {s.name}")
 
@@ -980,17 +1111,13 @@ class Matrix(_Grid):
         a = _copy(self)
         other, n = ("j", a.nrows) if key == "i" else ("i", a.ncols)
         g = aggs.as_agg(op)
-        if g is not None:
-            t, f = g.result(a.dtype), g.reduce(F.col("v"), a.dtype, F.col("at"))
-        else:
-            m = ops.as_monoid(op)
-            t, f = m.result(a.dtype), m.reduce(F.col("v"), a.dtype)
+        by = ops.as_monoid(op) if g is None else g
 
         def make(keep):
             df = a.df.select(F.col(key).alias("i"), F.col(other).alias("at"), "v")
-            return _kept(df, keep).groupBy("i").agg(f.alias("v"))
+            return folded(_kept(df, keep), ["i"], by, a.dtype, None if g is None else F.col("at"))
 
-        return Expr(Vector, t, (n,), make, "reduce")
+        return Expr(Vector, by.result(a.dtype), (n,), make, "reduce")
 
     def reduce_rowwise(self, op="plus") -> Expr:
         return self._reduce_axis(op, "i")
@@ -1038,7 +1165,7 @@ class Matrix(_Grid):
 def _multiply(df, keep, s, tx, ty, keys, at) -> DataFrame:
     df = df.select(*keys, s.binaryop.compute(F.col("x"), F.col("y"), tx, ty, at).alias("v"))
     df = keep(df) if keep else df
-    return df.groupBy(*keys).agg(s.monoid.reduce(F.col("v"), s.binaryop.out(tx, ty)).alias("v"))
+    return folded(df, keys, s.monoid, s.binaryop.out(tx, ty))
 
 
 class Transposed:
@@ -1112,6 +1239,8 @@ class Scalar(Collection):
         Updater(self, None, None, False) << expr
 
     def _source(self, expr, mask, replace, accum):
+        if isinstance(expr, Updater):
+            expr = expr._extract()
         if isinstance(expr, Infix):
             expr = expr._default()
         if isinstance(expr, Expr):

@@ -32,6 +32,7 @@ class Expr:
     def __init__(self, kind: type, dtype: DataType, shape: tuple, make: Callable[[Any], DataFrame], name: str = ""):
         self.kind, self.dtype, self.shape, self.make, self.name = kind, dtype, shape, make, name
         self._value = None
+        self.compared = None  # (collection, comparison, scalar) of A < 3 and the like
         record(f"{kind.__name__}[{dtype}]{tuple(shape)} = {name}")
 
     def new(self, dtype=None, *, mask=None, name=None):
@@ -57,7 +58,7 @@ class Expr:
 
 for _n in ("__and__", "__or__", "__matmul__", "__add__", "__sub__", "__mul__", "__truediv__", "__floordiv__", "__mod__", "__pow__", "__neg__", "__invert__", "__abs__", "__xor__",
            "__lt__", "__gt__", "__le__", "__ge__", "__eq__", "__ne__", "__getitem__", "__contains__", "__iter__", "__rand__", "__ror__", "__rmatmul__", "__radd__", "__rsub__", "__rmul__",
-           "__rtruediv__", "__rfloordiv__", "__rmod__", "__rpow__", "__rxor__", "__bool__", "__float__", "__int__", "__index__"):
+           "__rtruediv__", "__rfloordiv__", "__rmod__", "__rpow__", "__rxor__", "__divmod__", "__bool__", "__float__", "__int__", "__index__"):
     setattr(Expr, _n, lambda self, *a, _n=_n: getattr(self.new(), _n)(*a))
 Expr.__hash__ = object.__hash__
 
@@ -146,6 +147,24 @@ def _any(name: str):
     return aggs.AGG[name]
 
 
+def _by(axis: str, what: str):
+    """select.value(A > 3), select.row(A <= 5) and the like: the comparison says what is kept."""
+
+    def choose(e):
+        if getattr(e, "compared", None) is None:
+            raise TypeError(f"select.{what} takes a comparison with a scalar, such as A > 3")
+        a, op, k = e.compared
+        if axis == "value":
+            return a.select(f"value{op}", k)
+        names = {"le": ("le", 0), "gt": ("gt", 0), "lt": ("le", -1), "ge": ("gt", -1)}
+        if op not in names:
+            raise TypeError(f"select.{what} has no {op}")
+        tail, shift = names[op]
+        return a.select(f"{axis}{tail}", int(k) + shift)
+
+    return choose
+
+
 def _numpy(find, table):
     return Namespace(lambda n: find(table[n]), lambda: table)
 
@@ -153,10 +172,10 @@ def _numpy(find, table):
 unary = Namespace(ops.as_unary, lambda: ops.UNARY, numpy=_numpy(ops.as_unary, ops.NUMPY_UNARY), register_new=ops.register_unary, register_anonymous=lambda f, dtype=None: ops.register_unary(None, f, dtype))
 binary = Namespace(ops.as_binary, lambda: ops.BINARY, numpy=_numpy(ops.as_binary, ops.NUMPY_BINARY), register_new=ops.register_binary, register_anonymous=lambda f, dtype=None: ops.register_binary(None, f, dtype), isclose=ops.isclose)
 monoid = Namespace(ops.as_monoid, lambda: ops.MONOIDS, numpy=_numpy(ops.as_monoid, ops.NUMPY_MONOID), register_new=ops.register_monoid, register_anonymous=lambda *a, **k: ops.register_monoid(None, *a, **k))
-semiring = Namespace(ops.as_semiring, lambda: (f"{m}_{b}" for m in ops.MONOIDS for b in ops.BINARY), register_new=lambda name, m, b: ops.get_semiring(m, b), get_semiring=ops.get_semiring)
+semiring = Namespace(ops.as_semiring, lambda: (f"{m}_{b}" for m in ops.MONOIDS for b in ops.BINARY), register_new=ops.register_semiring, register_anonymous=lambda m, b: ops.get_semiring(m, b), get_semiring=ops.get_semiring)
 semiring.numpy = Namespace(lambda n: ops.get_semiring(ops.NUMPY_MONOID[n.split("_", 1)[0]] if n.split("_", 1)[0] in ops.NUMPY_MONOID else ops.NUMPY_MONOID["_".join(n.split("_")[:2])], ops.NUMPY_BINARY[n.split("_", 1)[1]] if n.split("_", 1)[1] in ops.NUMPY_BINARY and n.split("_", 1)[0] in ops.NUMPY_MONOID else ops.NUMPY_BINARY["_".join(n.split("_")[2:])]), lambda: ())
 indexunary = Namespace(ops.as_index, lambda: ops.INDEXUNARY, register_new=ops.register_indexunary, register_anonymous=lambda f, dtype="BOOL": ops.register_indexunary(None, f, dtype))
 indexbinary = Namespace(lambda n: ops.INDEXBINARY[n], lambda: ops.INDEXBINARY, register_new=ops.register_indexbinary, register_anonymous=lambda f, dtype=None: ops.register_indexbinary(None, f, dtype))
-select = Namespace(lambda n: ops.SELECT[n], lambda: ops.SELECT, register_new=ops.register_indexunary, register_anonymous=lambda f: ops.register_indexunary(None, f))
+select = Namespace(lambda n: ops.SELECT[n], lambda: ops.SELECT, value=_by("value", "value"), row=_by("row", "row"), column=_by("col", "column"), index=_by("index", "index"), register_new=ops.register_indexunary, register_anonymous=lambda f: ops.register_indexunary(None, f))
 agg = Namespace(lambda n: aggs.AGG[n], lambda: aggs.AGG, ss=Namespace(lambda n: aggs.AGG[n], lambda: aggs.AGG), custom=aggs.custom)
 op = Namespace(_any, lambda: {*ops.UNARY, *ops.BINARY, *ops.MONOIDS, *ops.INDEXUNARY, *aggs.AGG})

@@ -1,8 +1,10 @@
 """Scans, sorts, top-k, packing, reshaping and tiles of stored entries.
 
-Row and column forms are windows over (row, column). A vector has a single axis, so its
-forms go through equal index ranges: a first aggregate per range, a window over those
-few sums, and windows within the ranges, so no task holds the whole vector.
+Scans and vector sorts range-partition the stored entries by their order and write them
+once (``ranged``): Spark's sampled ranges hold about equally many entries, however they
+are spread over the shape, so a hot row or a clustered vector takes many tasks. Each
+range is scanned alone, the few totals of the ranges are scanned after that, and the
+totals before a range are joined to it.
 """
 
 from __future__ import annotations
@@ -13,9 +15,38 @@ from pyspark.sql import functions as F
 from lattica.exceptions import DimensionMismatch, InvalidValue, NotImplementedException
 from lattica.functions import ops
 from lattica.functions.dtypes import INT64
-from lattica.operators.collection import Matrix, Scalar, Vector
+from lattica.functions import dtypes as dt
+from lattica.operators.collection import Matrix, Scalar, Vector, fixed, folded
 
-BLOCKS = 4096
+
+def ranged(df: DataFrame, *order) -> DataFrame:
+    """df in ranges of the order, with range p and row number m that grow along it; written once, so both stay as they are."""
+    return fixed(df.orderBy(*order).withColumn("p", F.spark_partition_id()).withColumn("m", F.monotonically_increasing_id()))
+
+
+def ranked(df: DataFrame, *order) -> DataFrame:
+    """df with r: each row's place in the order, from 1."""
+    df = ranged(df, *order)
+    n = df.groupBy("p").agg(F.count(F.lit(1)).alias("c"), F.min("m").alias("lo"))  # a row per range
+    start = n.withColumn("s", F.coalesce(F.sum("c").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return df.join(F.broadcast(start), "p").withColumn("r", F.col("m") - F.col("lo") + F.col("s") + 1).drop("p", "m", "c", "lo", "s")
+
+
+def scanned(df: DataFrame, m, t, group: list[str], along: str) -> DataFrame:
+    """Inclusive scan of v along an axis within each group, in two levels."""
+    out = m.result(t)
+    df = ranged(df, *group, along)
+    w = Window.partitionBy(*group, "p").orderBy(along).rowsBetween(Window.unboundedPreceding, 0)
+    inner = df.withColumn("w", _running(m, F.col("v"), w, t).cast(out.spark))
+    if m.name == "any":
+        tot = df.groupBy(*group, "p").agg(F.min_by("v", along).alias("s"))
+    else:
+        tot = folded(df.select(*group, "p", "v"), [*group, "p"], m, t).withColumnRenamed("v", "s")
+    before = Window.partitionBy(*group).orderBy("p").rowsBetween(Window.unboundedPreceding, -1)  # a row per range that the group is in
+    tot = tot.withColumn("c", _running(m, F.col("s"), before, out).cast(out.spark)).withColumn("n", F.count(F.lit(1)).over(before)).where("n > 0").select(*group, "p", "c")
+    both = F.col("c") if m.name == "any" else m.binaryop.compute(F.col("c"), F.col("w"), out, out)
+    res = inner.join(tot.withColumn("later", F.lit(True)), [*group, "p"], "left")
+    return res.select(*group, along, F.when(F.col("later"), both).otherwise(F.col("w")).alias("v"))
 
 
 def _by_column(order: str) -> bool:
@@ -46,8 +77,6 @@ def _running(m, v: Column, w, t) -> Column:
         if n == "plus" and t.kind == "b":
             return F.bool_or(v).over(w)
         return simple[n](v).over(w)
-    from lattica.functions import dtypes as dt
-
     zero = dt.lit(m.identity(t), t)
     return F.reduce(F.collect_list(v).over(w), zero, lambda a, b: dt.wrap(m.binaryop.fn(dt.wide(a, t), dt.wide(b, t), t), t))
 
@@ -63,16 +92,23 @@ class MatrixExt:
         """Inclusive prefix scan of each row's (column's) stored entries."""
         own, along = self._axis(order)
         m, a = ops.as_monoid(op), self.a
-        w = Window.partitionBy(own).orderBy(along).rowsBetween(Window.unboundedPreceding, 0)
-        t = m.result(a.dtype)
-        return Matrix.of(a.df.select("i", "j", _running(m, F.col("v"), w, a.dtype).cast(t.spark).alias("v")), t, a.shape)
+        return Matrix.of(scanned(a.df, m, a.dtype, [own], along).select("i", "j", "v"), m.result(a.dtype), a.shape)
 
     def sort(self, op="lt", order="rowwise", *, values=True, permutation=True):
-        """Each row sorted and packed to the left: (values, permutation); ties by index."""
+        """Each row sorted and packed to the left: (values, permutation); ties by index.
+
+        By lt or gt this is a window; another BOOL operator of (a, b), true where a comes first,
+        sorts each row as an array.
+        """
         own, along = self._axis(order)
-        name = ops.as_binary(op).name
+        f = ops.as_binary(op)
+        name = f.name
         if name not in ("lt", "gt", "le", "ge"):
-            raise NotImplementedException("sort by lt or gt")
+            df = _by_operator(self.a.df.select(own, F.col(along).alias("old"), "v"), [own], f, self.a.dtype).withColumnRenamed("at", along)
+            return (
+                Matrix.of(df.select("i", "j", "v"), self.a.dtype, self.a.shape) if values else None,
+                Matrix.of(df.select("i", "j", F.col("old").alias("v")), INT64, self.a.shape) if permutation else None,
+            )
         first = F.col("v").asc() if name[0] == "l" else F.col("v").desc()
         w = Window.partitionBy(own).orderBy(first, along)
         df = self.a.df.select(own, F.col(along).alias("old"), (F.row_number().over(w) - 1).cast("long").alias(along), "v")
@@ -84,14 +120,14 @@ class MatrixExt:
     def selectk(self, how: str, k: int, order="rowwise", *, seed: int = 0) -> Matrix:
         """The first, last, smallest, largest or random k entries of each row (column)."""
         own, along = self._axis(order)
-        w = Window.partitionBy(own).orderBy(*_order(how, along, seed))
+        w = Window.partitionBy(own).orderBy(*_order(how, along, seed, own))
         df = self.a.df.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).drop("r")
         return Matrix.of(df, self.a.dtype, self.a.shape)
 
     def compactify(self, how="first", k=None, order="rowwise", *, reverse=False, asindex=False, seed: int = 0) -> Matrix:
         """Entries, or their indices, packed to the left in the order of ``how``."""
         own, along = self._axis(order)
-        w = Window.partitionBy(own).orderBy(*_order(how, along, seed))
+        w = Window.partitionBy(own).orderBy(*_order(how, along, seed, own))
         df = self.a.df.withColumn("r", F.row_number().over(w))
         n = F.count(F.lit(1)).over(Window.partitionBy(own)) if reverse else None
         if k is not None:
@@ -233,38 +269,21 @@ class VectorExt:
     def __init__(self, v: Vector):
         self.v = v
 
-    def _blocked(self) -> tuple[DataFrame, str]:
-        width = max(1, -(-self.v.size // BLOCKS))
-        return self.v.df.withColumn("b", F.call_function("div", F.col("i"), F.lit(width).cast("long"))), "b"
-
     def scan(self, op="plus") -> Vector:
-        """Inclusive prefix scan in two passes: within index ranges, then over their totals."""
+        """Inclusive prefix scan: within ranges, then over their totals."""
         m, a = ops.as_monoid(op), self.v
-        df, b = self._blocked()
-        t = m.result(a.dtype)
-        w = Window.partitionBy(b).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-        inner = df.withColumn("p", _running(m, F.col("v"), w, a.dtype).cast(t.spark))
-        if m.name == "any":
-            tot = df.groupBy(b).agg(F.min_by("v", "i").alias("s"))
-        else:
-            tot = df.groupBy(b).agg(m.reduce(F.col("v"), a.dtype).alias("s"))
-        before = Window.orderBy(b).rowsBetween(Window.unboundedPreceding, -1)  # at most BLOCKS rows
-        tot = tot.withColumn("c", _running(m, F.col("s"), before, t).cast(t.spark)).withColumn("n", F.count(F.lit(1)).over(before)).select(b, "c", "n")
-        out = inner.join(F.broadcast(tot), b)
-        v = F.when(F.col("n") > 0, m.binaryop.compute(F.col("c"), F.col("p"), t, t) if m.name != "any" else F.col("c")).otherwise(F.col("p"))
-        return Vector.of(out.select("i", v.alias("v")), t, a.shape)
+        return Vector.of(scanned(a.df, m, a.dtype, [], "i"), m.result(a.dtype), a.shape)
 
     def _ranked(self, *order) -> DataFrame:
-        """Rows with rank r from 1 in the order: a range partitioning, its sizes, and ranks within."""
-        df = self.v.df.orderBy(*order).withColumn("p", F.spark_partition_id()).withColumn("m", F.monotonically_increasing_id())
-        n = df.groupBy("p").agg(F.count(F.lit(1)).alias("c"), F.min("m").alias("lo"))
-        start = n.withColumn("s", F.coalesce(F.sum("c").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        return df.join(F.broadcast(start), "p").select("i", "v", (F.col("m") - F.col("lo") + F.col("s") + 1).alias("r"))
+        return ranked(self.v.df, *order)
 
     def sort(self, op="lt", *, values=True, permutation=True):
-        name = ops.as_binary(op).name
+        """Sorted and packed to the front; an operator other than lt or gt sorts the vector as one array."""
+        f = ops.as_binary(op)
+        name = f.name
         if name not in ("lt", "gt", "le", "ge"):
-            raise NotImplementedException("sort by lt or gt")
+            df = _by_operator(self.v.df.select(F.col("i").alias("old"), "v"), [], f, self.v.dtype).withColumnRenamed("at", "i")
+            return (Vector.of(df.select("i", "v"), self.v.dtype, self.v.shape) if values else None, Vector.of(df.select("i", F.col("old").alias("v")), INT64, self.v.shape) if permutation else None)
         df = self._ranked(F.col("v").asc() if name[0] == "l" else F.col("v").desc(), "i").select((F.col("r") - 1).alias("i"), "v", F.col("i").alias("old"))
         return (Vector.of(df.select("i", "v"), self.v.dtype, self.v.shape) if values else None, Vector.of(df.select("i", F.col("old").alias("v")), INT64, self.v.shape) if permutation else None)
 
@@ -299,7 +318,7 @@ class VectorExt:
     def concat(self, tiles) -> None:
         at, df = 0, None
         for t in tiles:
-            part = t.df.select((F.col("i") + at).alias("i"), F.col("v").cast(self.v.dtype.spark).alias("v"))
+            part = t.df.select((F.col("i") + at).alias("i"), dt.cast(F.col("v"), t.dtype, self.v.dtype).alias("v"))
             df, at = part if df is None else df.union(part), at + t.size
         if at != self.v.size:
             raise DimensionMismatch(f"{at} into {self.v.size}")
@@ -367,10 +386,20 @@ class VectorExt:
         save(self.v, path, compression)
 
 
-def _order(how: str, along: str, seed: int):
+def _by_operator(df: DataFrame, group: list[str], op, t) -> DataFrame:
+    """Rows (old, v) of each group in the order of a BOOL operator, numbered by ``at``; a group is one array."""
+    comes = lambda a, b: op.compute(a["v"], b["v"], t, t)
+    order = lambda a, b: F.when(comes(a, b) & ~comes(b, a), -1).when(comes(b, a) & ~comes(a, b), 1).otherwise(F.signum((a["old"] - b["old"]).cast("double")).cast("int"))
+    if op.out(t, t) != dt.BOOL:
+        raise NotImplementedException("sort by a BOOL operator")
+    rows = df.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("v", "old")), order).alias("x"))
+    return rows.select(*group, F.posexplode("x").alias("at", "y")).select(*group, F.col("at").cast("long").alias("at"), "y.v", "y.old")
+
+
+def _order(how: str, along: str, seed: int, *also: str):
     return {
         "first": [F.col(along)], "last": [F.col(along).desc()], "smallest": [F.col("v"), F.col(along)], "largest": [F.col("v").desc(), F.col(along)],
-        "random": [F.xxhash64(F.lit(seed), along), F.col(along)],
+        "random": [F.xxhash64(F.lit(seed), *also, along), F.col(along)],
     }[how]
 
 
@@ -389,15 +418,17 @@ def concat(tiles) -> Matrix:
     """One matrix from rows of tiles (or a list of vectors, stacked)."""
     rows = [r if isinstance(r, list | tuple) else [r] for r in tiles]
     rows = [[t.as_matrix() if isinstance(t, Vector) else t for t in r] for r in rows]
-    df, at, width, types = None, 0, None, []
+    df, at, width = None, 0, None
+    own = rows[0][0].dtype
+    for t in (t for r in rows for t in r):
+        own = dt.unify(own, t.dtype)
     for r in rows:
         c = 0
         for t in r:
-            part = t.df.select((F.col("i") + at).alias("i"), (F.col("j") + c).alias("j"), "v")
+            part = t.df.select((F.col("i") + at).alias("i"), (F.col("j") + c).alias("j"), dt.cast(F.col("v"), t.dtype, own).alias("v"))
             df = part if df is None else df.union(part)
-            types.append(t.dtype)
             c += t.ncols
         if width not in (None, c) or len({t.nrows for t in r}) > 1:
             raise DimensionMismatch("tiles do not fit")
         width, at = c, at + r[0].nrows
-    return Matrix.of(df, types[0], (at, width))
+    return Matrix.of(df, own, (at, width))

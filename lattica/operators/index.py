@@ -9,6 +9,14 @@ from pyspark.sql import functions as F
 from lattica.exceptions import IndexOutOfBound
 
 
+#: Index lists up to this length are broadcast; longer ones are joined as tables.
+BROADCAST = 1 << 20
+
+
+def _sized(df: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(df) if n <= BROADCAST else df
+
+
 class Index:
     """One axis: ``all``, ``int``, ``range`` (start, step, n) or ``list``."""
 
@@ -51,7 +59,7 @@ class Index:
         if self.kind == "range":
             return df.where(self.inside(c)).withColumn(key, F.call_function("div", c - self.start, F.lit(self.step)))
         old = df.sparkSession.createDataFrame(list(zip(self.values, range(self.n), strict=True)), f"{key} long, new long")
-        return df.join(F.broadcast(old), key).withColumn(key, F.col("new")).drop("new")  # the list is the caller's own
+        return df.join(_sized(old, self.n), key).withColumn(key, F.col("new")).drop("new")
 
     def unplace(self, c: Column) -> Column:
         """The index of place c (ranges and ints)."""
@@ -65,7 +73,7 @@ class Index:
             return df.withColumn(key, self.unplace(F.col(key)))
         last = {v: i for i, v in enumerate(self.values)}
         new = df.sparkSession.createDataFrame([(i, v) for v, i in last.items()] or [(-1, -1)], f"{key} long, new long")
-        return df.join(F.broadcast(new), key).withColumn(key, F.col("new")).drop("new")
+        return df.join(_sized(new, self.n), key).withColumn(key, F.col("new")).drop("new")
 
     def inside(self, c: Column) -> Column:
         """c is one of the indices: a predicate that is pushed to the scan."""
@@ -79,7 +87,7 @@ class Index:
             lo, hi = sorted((self.start, self.start + self.step * (self.n - 1)))
             near = c.between(lo, hi)
             return near if abs(self.step) == 1 else near & ((c - lo) % abs(self.step) == 0)
-        return c.isin(sorted(set(self.values))) if self.values else F.lit(False)
+        return c.isin(sorted(set(self.values))) if self.values else F.lit(False)  # a predicate: the list is in the plan
 
     def listed(self, spark, key: str) -> DataFrame:
         """All indices as rows."""

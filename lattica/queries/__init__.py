@@ -1,6 +1,6 @@
 """Queries over the test tables, one per operator, each with the SQL that gives the same rows."""
 
-from lattica.queries import algebra, graphs
+from lattica.queries import algebra, api, graphs
 
-QUERIES = algebra.QUERIES | graphs.QUERIES
-ORACLE = algebra.ORACLE | graphs.ORACLE
+QUERIES = algebra.QUERIES | api.QUERIES | graphs.QUERIES
+ORACLE = algebra.ORACLE | api.ORACLE | graphs.ORACLE

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lattica.functions import dtypes as dt
 from lattica.functions import ops
 from lattica.operators.collection import Matrix, Vector, session
+from lattica.operators.ext import ranked
 
 
 def save(a, path: str, compression: str = "zstd") -> None:
@@ -26,11 +27,9 @@ def load(path: str, spark: SparkSession | None = None):
 
 
 def dictionary(df: DataFrame, key: str) -> DataFrame:
-    """(key, id): dense ids from 0 in key order, by a range partitioning and its sizes."""
-    k = df.select(key).where(F.col(key).isNotNull()).distinct().orderBy(key).withColumn("p", F.spark_partition_id()).withColumn("m", F.monotonically_increasing_id())
-    n = k.groupBy("p").agg(F.count(F.lit(1)).alias("c"), F.min("m").alias("lo"))
-    n = n.withColumn("s", F.coalesce(F.sum("c").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return k.join(F.broadcast(n), "p").select(key, (F.col("m") - F.col("lo") + F.col("s")).alias("id"))
+    """(key, id): dense ids from 0 in key order, by ranges that are written once and their sizes."""
+    keys = df.select(key).where(F.col(key).isNotNull()).distinct()
+    return ranked(keys, key).select(key, (F.col("r") - 1).alias("id"))
 
 
 def from_keys(df: DataFrame, row: str, column: str, value=None, *, dup_op="plus", dtype=None) -> tuple[Matrix, DataFrame, DataFrame]:
