@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lattica.functions.dtypes import BOOL, FP64, INT64
-from lattica.operators.collection import Matrix, Vector
+from lattica.operators.collection import Matrix, Vector, fixed
 
 
 def bfs_levels(a: Matrix, source: int, max_level: int | None = None) -> Vector:
@@ -20,12 +20,13 @@ def bfs_levels(a: Matrix, source: int, max_level: int | None = None) -> Vector:
     one = Matrix.of(a.df.select("i", "j", F.lit(True).alias("v")), BOOL, a.shape).persist()
     while max_level is None or n < max_level:
         n += 1
-        front(~level.S, replace=True) << front.vxm(one, "lor_land")
+        front(~level.S, replace=True) << front.vxm(one, "any_pair")
         front.checkpoint()
         if not front.df.head(1):
             break
         level(front.S) << n
         level.checkpoint()
+    one.df.unpersist()
     return level
 
 
@@ -39,20 +40,25 @@ def bfs_parents(a: Matrix, source: int) -> Vector:
         front(~parent.S, replace=True) << front.vxm(one, "min_first")
         front.checkpoint()
         if not front.df.head(1):
+            one.df.unpersist()
             return parent
         parent(front.S) << front
         parent.checkpoint()
 
 
 def sssp(a: Matrix, source: int) -> Vector:
-    """Shortest distances by relaxation to a fixed point."""
+    """Shortest distances by relaxation to a fixed point; a round relaxes only from vertices that came nearer."""
     a = a.dup(FP64).persist()
     d = Vector.from_coo([source], [0.0], FP64, size=a.nrows)
+    near = d
     while True:
-        old = d.dup()
-        d(accum="min") << d.vxm(a, "min_plus")
-        d.checkpoint()
-        if d.isequal(old):
+        got = near.vxm(a, "min_plus").new().df.withColumnRenamed("v", "w")
+        both = d.df.join(got, "i", "full").select("i", F.least("v", "w").alias("v"), (F.col("v").isNull() | (F.col("w") < F.col("v"))).alias("moved"))
+        both = fixed(both)
+        d = Vector.of(both.select("i", "v"), FP64, d.shape)
+        near = Vector.of(both.where("moved").select("i", "v"), FP64, d.shape)
+        if not near.df.head(1):
+            a.df.unpersist()
             return d
 
 
@@ -61,37 +67,46 @@ def pagerank(a: Matrix, damping: float = 0.85, iterations: int | None = None, to
     n = a.nrows
     links = Matrix.of(a.df.select("i", "j", F.lit(1.0).alias("v")), FP64, a.shape).persist()
     degree = links.reduce_rowwise("plus").new().checkpoint()
+    linked = degree.nvals == n  # then no round has to look for sinks
     r = Vector.from_scalar(1.0 / n, n)
     for _ in range(iterations or max_iterations):
         old = r
         share = r.ewise_mult(degree, "truediv").new()
-        sinks = old.df.join(degree.df, "i", "left_anti").agg(F.sum("v")).first()[0] or 0.0
+        sinks = 0.0 if linked else old.df.join(degree.df, "i", "left_anti").agg(F.sum("v")).first()[0] or 0.0
         base = (1 - damping) / n + damping * sinks / n
         got = share.vxm(links, "plus_first").new()
         df = old.df.select("i").join(got.df, "i", "left").select("i", (F.lit(base) + damping * F.coalesce("v", F.lit(0.0))).alias("v"))
         r = Vector.of(df, FP64, (n,)).checkpoint()
         if iterations is None and (r.df.withColumnRenamed("v", "w").join(old.df, "i").agg(F.sum(F.abs(F.col("w") - F.col("v")))).first()[0] or 0) < tol * n:
             break
+    links.df.unpersist()
     return r
 
 
-def connected_components(a: Matrix) -> Vector:
+def connected_components(a: Matrix, isolated: bool = True) -> Vector:
     """The smallest vertex of each vertex's component; edges count both ways.
 
-    Hooking to the smallest neighbour's label and pointer jumping until nothing moves.
+    Hooking to the smallest neighbour's label and pointer jumping until nothing moves, over
+    the vertices that have edges; the rest are their own components (left out unless
+    ``isolated``, which fills the shape).
     """
-    both = a.df.select("i", "j").union(a.df.select(F.col("j").alias("i"), F.col("i").alias("j"))).distinct().withColumn("v", F.lit(1).cast("long"))
-    g = Matrix.of(both, INT64, a.shape).persist()
-    f = Vector.of(Vector.of(None, INT64, (a.nrows,)).dense_coords().withColumn("v", F.col("i")), INT64, (a.nrows,))
+    edges = a.df.select("i", "j").where("i <> j")
+    g = edges.union(edges.select(F.col("j").alias("i"), F.col("i").alias("j"))).distinct().persist()
+    alone = a.df.where("i = j").select("i")
+    f = fixed(g.select("i").union(alone).distinct().select("i", F.col("i").alias("v")))
     while True:
-        old = f
-        least = g.mxv(f, "min_second").new()
-        f = f.dup()
-        f(accum="min") << least
-        jump = f.df.select(F.col("i").alias("v"), F.col("v").alias("w"))
-        f = Vector.of(f.df.join(jump, "v").select("i", F.least("v", "w").alias("v")), INT64, f.shape).checkpoint()
-        if f.isequal(old):
-            return f
+        least = g.join(f.select(F.col("i").alias("j"), F.col("v").alias("w")), "j").groupBy("i").agg(F.min("w").alias("w"))
+        hooked = f.join(least, "i", "left").select("i", F.col("v").alias("old"), F.least("v", "w").alias("v"))
+        jump = f.select(F.col("i").alias("v"), F.col("v").alias("w"))
+        f = fixed(hooked.join(jump, "v").select("i", F.least("v", "w").alias("v"), (F.least("v", "w") < F.col("old")).alias("moved")))
+        if not f.where("moved").head(1):
+            break
+    g.unpersist()
+    f = f.select("i", "v")
+    if isolated:
+        every = Vector.of(None, INT64, (a.nrows,)).dense_coords()
+        f = every.join(f, "i", "left").select("i", F.coalesce("v", "i").alias("v"))
+    return Vector.of(f, INT64, (a.nrows,))
 
 
 def triangles(a: Matrix) -> int:

@@ -14,7 +14,7 @@ class EdgeStream:
 
     Every micro-batch is folded with the monoid and written to its own folder under
     ``path`` (idempotent: a batch that is retried overwrites itself), and ``matrix``
-    folds the folders; ``compact`` joins them into one.
+    folds the folders.
     """
 
     def __init__(self, path: str, dtype, shape: tuple, monoid="plus"):
