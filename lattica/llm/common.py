@@ -144,6 +144,14 @@ def with_columns(df: DataFrame, fields: list[T.StructField], fn) -> DataFrame:
     return df.mapInArrow(add, schema)
 
 
+def guarded(docs: DataFrame, *needed: str):
+    """docs with only the needed columns under their names, so none clashes with an operator's own; and what puts all names back."""
+    held = {f"c{i}": n for i, n in enumerate(docs.columns) if n not in needed}
+    inner = docs.toDF(*(n if n in needed else f"c{i}" for i, n in enumerate(docs.columns)))
+    names = [(n if n in needed else f"c{i}", n) for i, n in enumerate(docs.columns)]
+    return inner, lambda df: df.select(*(F.col(c).alias(n) for c, n in names), *(c for c in df.columns if c not in held and c not in needed))
+
+
 def crc_mod(col: str, n: int):
     """crc32 of the id as text, modulo n (null where the id is null)."""
     return F.crc32(F.col(col).cast("string").cast("binary")) % n

@@ -23,7 +23,8 @@ partition. Nothing is collected to the driver.
 Defined cases: null text is empty; a null doc_id sorts before all others; rows that
 share doc_id and text are one document and get one result; rows that share only the
 doc_id are ordered by a hash of the text. Texts under ``min_bytes`` are kept whole.
-Names are 64-bit hashes; two differing windows would have to agree in two of them.
+Names are 64-bit hashes; windows count as equal where two of them agree, the seed's and
+the stretch's or the window's own.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lattica.llm.common import Scratch, binary, groups, n_parts, slabs, with_columns
+from lattica.llm.common import Scratch, binary, groups, guarded, n_parts, slabs, with_columns
 from lattica.llm.hashing import U, mix, powers, prefix, substr
 
 LOW = U((1 << 20) - 1)
@@ -130,11 +131,11 @@ def _marks(k, th, runs=None, opened=None) -> pa.RecordBatch:
 ROUND1 = "<u8 <u8 <i8 <u4 <u4 <u2 <u2"
 
 
-def _earliest(group: np.ndarray, k, th, pos):
-    """Order by (group, k, th, pos); (order, group's start flags, row is not its group's earliest place)."""
-    order = np.lexsort((pos, th, k, group))
-    g, k, th, pos = group[order], k[order], th[order], pos[order]
-    new = np.concatenate([[True], g[1:] != g[:-1]])
+def _earliest(one: np.ndarray, two: np.ndarray, k, th, pos):
+    """Order by (one, two, k, th, pos), two names that make a group; (order, group's start flags, row is not its group's earliest place)."""
+    order = np.lexsort((pos, th, k, two, one))
+    g, u, k, th, pos = one[order], two[order], k[order], th[order], pos[order]
+    new = np.concatenate([[True], (g[1:] != g[:-1]) | (u[1:] != u[:-1])])
     first = np.maximum.accumulate(np.where(new, np.arange(len(g)), 0))
     later = (k != k[first]) | (th != th[first]) | (pos != pos[first])
     return order, new, later
@@ -168,7 +169,7 @@ def _round1_map(parts: int, seed: int, length: int):
                 continue
             row, a, first, count, h, u = (np.concatenate(c) for c in zip(*got, strict=True))
             k, th = ks[row], ths[row]
-            order, new, later = _earliest(mix(h) ^ u, k, th, a)
+            order, new, later = _earliest(h, u, k, th, a)
             send = order[new]
             k2, h2, a2, f2 = k[send], h[send], a[send], first[send]
             by_place = np.lexsort((a2, k2))
@@ -207,8 +208,7 @@ def _round1_reduce(batches):
     if not len(own):
         return
     h, u, k, th, pos, off, count = (c[own].astype(np.int64) if c.dtype.itemsize < 8 else c[own] for c in (h, u, k, th, pos, off, count))
-    group = mix(h) ^ u
-    order, new, later = _earliest(group, k, th, pos)
+    order, new, later = _earliest(h, u, k, th, pos)
     first = pos - off
     if len(rest := order[later]):
         rest = rest[np.lexsort((pos[rest], th[rest], k[rest]))]
@@ -273,7 +273,7 @@ def _round2_reduce(batches):
     e = np.repeat(np.arange(len(n)), n)
     k, th = k[e], th[e].astype(np.int64)
     pos = first[e].astype(np.int64) + np.arange(len(e)) - (np.cumsum(n) - n)[e]
-    order, _, later = _earliest(mix(h)[e] ^ w, k, th, pos)
+    order, _, later = _earliest(h[e], w, k, th, pos)
     if len(rest := order[later]):
         rest = rest[np.lexsort((pos[rest], th[rest], k[rest]))]
         yield _marks(k[rest], th[rest], runs=_runs(pos[rest], 1))
@@ -340,6 +340,7 @@ def report(docs: DataFrame, min_bytes: int = 100) -> DataFrame:
 
 def strip(docs: DataFrame, min_bytes: int = 100) -> DataFrame:
     """docs without repeated bytes, the runs narrowed to whole characters; texts that this empties go."""
+    docs, named = guarded(docs, "doc_id", "text", "n_chars")
     joined = with_runs(docs, Scratch(docs.sparkSession, "suffix"), min_bytes)
     at = joined.columns.index("text")
 
@@ -357,4 +358,7 @@ def strip(docs: DataFrame, min_bytes: int = 100) -> DataFrame:
 
     out = with_columns(joined, [T.StructField("__text", T.StringType())], fn).filter("__text is null or __text <> ''")
     text = F.coalesce("__text", "text")
-    return out.withColumn("text", text).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns) if "n_chars" in docs.columns else out.withColumn("text", text).select(docs.columns)
+    out = out.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return named(out.select(docs.columns))
