@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import Scratch, binary, groups
+from lattica.llm.common import Scratch, binary, groups, guarded
 from lattica.llm.hashing import U, mix, words
 
 BANDS, ROWS = 36, 5
@@ -138,7 +138,9 @@ def _similar(percent: int):
 def _confirmed(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = docs.join(ids.hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(_sets(size), "doc_id long, s binary")
+    texts = docs.join(ids.hint("shuffle_hash"), "doc_id", "left_semi")
+    texts = texts.withColumn("th", F.xxhash64("text")).dropDuplicates(["doc_id", "th"])  # repeated rows would multiply every pair
+    sets = texts.select("doc_id", "text").mapInArrow(_sets(size), "doc_id long, s binary")
     left, right = (sets.select(F.col("doc_id").alias(c), F.col("s").alias(f"s{c}")) for c in "ab")
     return pairs.join(right, "b").join(left, "a").select("a", "b", "sa", "sb").mapInArrow(_similar(percent), "a long, b long")
 
@@ -171,10 +173,10 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFr
     every = scratch.save(docs.mapInArrow(_signatures(size), "doc_id long, n long, h1 long, h2 long, bands array<long>, bits array<long>"), "signatures")
     sets = every.filter("n > 0 and doc_id is not null")
     classes = scratch.save(sets.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("class")), "classes")
-    firsts = sets.join(classes, [sets.n == classes.n, sets.h1 == classes.h1, sets.h2 == classes.h2, sets.doc_id == classes["class"]]).select("doc_id", sets.n.alias("n"), "bands", "bits")
+    firsts = sets.join(classes, [sets.n == classes.n, sets.h1 == classes.h1, sets.h2 == classes.h2, sets.doc_id == classes["class"]]).select("doc_id", sets.n.alias("n"), sets.h1.alias("h1"), "bands", "bits")
     keys = firsts.select("doc_id", "n", F.explode("bands").alias("key"))
     buckets = keys.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("least"), F.max("doc_id").alias("most"), F.count(F.lit(1)).alias("size")).filter("least.doc_id < most")
-    members = scratch.save(keys.join(buckets, "key").select("key", "doc_id", "n", "least", "size"), "members")
+    members = scratch.save(keys.join(buckets, "key").select("key", "doc_id", "n", "least", "size").distinct(), "members")  # rows of one doc_id and text may repeat
     sized = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
     met = members.groupBy("doc_id").agg(F.sum("size").alias("met"))
     hubs = members.join(met, "doc_id").groupBy("key").agg(F.max(F.struct("met", "doc_id", "n")).alias("hub"))
@@ -190,7 +192,9 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFr
     # buckets that hold several components: their pairs across components
     placed = members.join(roots.withColumnRenamed("v", "doc_id"), "doc_id", "left").select("key", "doc_id", "n", F.coalesce("root", "doc_id").alias("root"))
     mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
-    placed = scratch.save(placed.join(mixed, "key").join(firsts.select("doc_id", "bits"), "doc_id"), "mixed")
+    placed = placed.join(mixed, "key")
+    bits = firsts.join(placed.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "n", "h1"]).select("doc_id", "n", "bits")
+    placed = scratch.save(placed.join(bits, ["doc_id", "n"]), "mixed")
     x, y = (placed.select(*(F.col(c).alias(f"{c}_{s}") for c in ("key", "doc_id", "n", "root", "bits"))) for s in "xy")
     apart = F.aggregate(F.zip_with("bits_x", "bits_y", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, c: t + c)
     near = apart * (100 + percent) <= (F.col("n_x") + F.col("n_y")) * (100 - percent)
@@ -207,6 +211,7 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFr
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """docs with one document of each group of near copies, the one of smallest doc_id."""
+    docs, named = guarded(docs, "doc_id", "text")
     found = near_duplicates(docs, size, percent)
     gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti").select(docs.columns)
+    return named(docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti").select(docs.columns))
