@@ -35,3 +35,21 @@ def test_em_recovers_proportions():
     w = np.round(1e5 * (p @ [0.6, 0.3, 0.1]))
     share, _ = language._em(p, w, 200)
     assert abs(share - [0.6, 0.3, 0.1]).max() < 0.02
+
+
+def test_letters_and_nonsense(spark):
+    rows = [(i, "the cat and the dog of the house with them " * 3, "en") for i in range(40)] + [(100 + i, "der hund und die katze mit dem haus ist nicht " * 3, "de") for i in range(40)]
+    rows += [(500, "² ½ 123", "en"), (501, "zqxj vkwq xzjq qvkx jjqz " * 30, None), (502, "the cat with the dog", None)]
+    df = spark.createDataFrame([(*r, 1, 2.0) for r in rows], "doc_id long, text string, lang string, __lang int, __gain double")
+    got = {r.doc_id: r for r in language.report(df.select("doc_id", "text", "lang"), crc_mod("doc_id", 4) == 2).collect()}
+    assert got[500].lang_pred == "und" and got[501].lang_pred in ("en", "de")
+    kept = language.identified(df)
+    assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == set(range(40)) | set(range(100, 140)) | {502}
+
+
+def test_more_languages_than_one_document_mixes(spark):
+    words = [f"{c}{v}{c}{w}" for c in "bdfgklmnprst" for v in "ae" for w in "io"]
+    rows = [(i * 20 + j, " ".join(words[4 * i : 4 * i + 4] * 6), f"l{i:02d}") for i in range(12) for j in range(12)]
+    rows.append((10_000, " ".join(w for i in range(10) for w in words[4 * i : 4 * i + 4] * 12), None))
+    got = {r.doc_id: r for r in language.report(spark.createDataFrame(rows, "doc_id long, text string, lang string"), crc_mod("doc_id", 4) == 2).collect()}
+    assert set(got[10_000].shares) == {f"l{i:02d}" for i in range(10)}
