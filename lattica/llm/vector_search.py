@@ -8,12 +8,16 @@ cells into an upper bound of the inner product. Vectors are read in falling orde
 that bound until the k-th exact score is at least the next bound, so the rest need no
 reading.
 
-Queries are collected in blocks of bounded size and each block is one pass over all
-rows; every task keeps its own k best per query, and the tasks' lists are merged per
-query. Nothing grows with the square of the table but the scores themselves.
+Queries come in blocks of ``block_bytes`` and each block is one pass over all rows, whose
+results are written before the next; every task keeps its own k best per query from
+batch to batch, and the tasks' lists are merged per query. Nothing grows with the square
+of the table but the scores themselves. Cells and exact vectors lie in one file: with a
+hundredth of all rows as queries the exact vectors that are read are spread over all of it,
+so a pass reads it whole, and what the bounds save is the exact products.
 
 Defined cases: vectors that are null or hold null or non-finite components take no
-part; vectors of differing lengths are compared as if padded with zeros; repeated
+part; components so large that an inner product could leave 64 bits are an error;
+vectors of differing lengths are compared as if padded with zeros; repeated
 vec_ids are rows of their own, a query never meets its own vec_id; ties go to the
 smaller vec_id.
 """
@@ -32,7 +36,7 @@ from lattica.llm.common import Scratch
 
 CELLS = 256
 SCALE = 1024.0
-BLOCK = 4096
+BLOCK_BYTES = 1 << 25
 
 
 def integers(df: DataFrame) -> DataFrame:
@@ -68,10 +72,15 @@ class Quantiser:
         return np.maximum(q[:, None] * low, q[:, None] * (low + self.width - 1))
 
 
-def _best(q: np.ndarray, own: int, ids: np.ndarray, z: np.ndarray, upper: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best (ids, scores) of a slice, reading exact vectors in falling order of their bound."""
+_NONE = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def _best(q: np.ndarray, own: int, ids: np.ndarray, z: np.ndarray, upper: np.ndarray, k: int, so_far: tuple = _NONE) -> tuple[np.ndarray, np.ndarray]:
+    """The k best (ids, scores) of a slice and those so far, reading exact vectors in falling order of their bound."""
     left, step = np.flatnonzero(ids != own), max(64, 4 * k)
-    got_i = got_s = np.zeros(0, np.int64)
+    got_i, got_s = so_far
+    if len(got_s) >= k:
+        left = left[upper[left] >= got_s[k - 1]]
     while len(left):
         at = left
         if step < len(left):  # only rows not yet read are partitioned, so equal bounds cannot repeat or hide a row
@@ -88,15 +97,18 @@ def _best(q: np.ndarray, own: int, ids: np.ndarray, z: np.ndarray, upper: np.nda
     return got_i, got_s
 
 
-def top_k(queries: DataFrame, candidates: DataFrame, k: int = 10, block: int = BLOCK) -> DataFrame:
-    """(query_id, rank, vec_id, score) from two tables of (vec_id, embedding)."""
+def top_k(queries: DataFrame, candidates: DataFrame, k: int = 10, block: int | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(query_id, rank, vec_id, score) from two tables of (vec_id, embedding); block: queries of a pass, else by block_bytes."""
     spark = queries.sparkSession
     scratch = Scratch(spark, "vectors")
     exact = integers(candidates)
     stats = exact.agg(F.min(F.array_min("z")), F.max(F.array_max("z")), F.max(F.size("z"))).first()
     wanted = scratch.save(integers(queries), "queries")
-    widest = wanted.agg(F.max(F.size("z"))).first()[0] or 0
-    d = max(stats[2] or 0, widest)
+    widest, low, high = wanted.agg(F.max(F.size("z")), F.min(F.array_min("z")), F.max(F.array_max("z"))).first()
+    d = max(stats[2] or 0, widest or 0)
+    reach = lambda *x: max((abs(v) for v in x if v is not None), default=0)
+    if reach(stats[0], stats[1]) * reach(low, high) * d >= 1 << 62:
+        raise ValueError("components too large: an inner product could leave 64 bits")
     quant = Quantiser(min(stats[0] or 0, 0), max(stats[1] or 0, 0), d)
 
     def approximate(batches):
@@ -105,21 +117,25 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 10, block: int = B
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in quant.cells(z)], pa.binary()), pa.array([r.tobytes() for r in z], pa.binary())], names=["vec_id", "cells", "z"])
 
     file = scratch.save(exact.mapInArrow(approximate, "vec_id long, cells binary, z binary"), "va")
-    found = file.limit(0).selectExpr("0L query_row", "vec_id query_id", "vec_id", "0L score")
-    rows: list = []
+    w = Window.partitionBy("query_row", "query_id").orderBy(F.desc("score"), "vec_id")
+    merged = lambda df: df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    block, rows, parts = block or max(1, block_bytes // (8 * max(1, d))), [], []
     for n, r in enumerate(wanted.toLocalIterator()):
         rows.append((n, r))
         if len(rows) == block:
-            found, rows = found.union(_search(file, rows, quant, k)), []
-    if rows:
-        found = found.union(_search(file, rows, quant, k))
-    w = Window.partitionBy("query_row", "query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            parts.append(scratch.save(merged(_search(file, rows, quant, k)), f"found/{len(parts)}"))
+            rows = []
+    if rows or not parts:
+        last = merged(_search(file, rows, quant, k))
+        if not parts:
+            return last
+        parts.append(scratch.save(last, f"found/{len(parts)}"))
+    return spark.read.schema(parts[0].schema).parquet(*(scratch.path(f"found/{i}") for i in range(len(parts))))
 
 
 def _search(file: DataFrame, rows: list, quant: Quantiser, k: int) -> DataFrame:
     """Each task's k best of a block of queries."""
-    first = rows[0][0]
+    first = rows[0][0] if rows else 0
     ids = np.array([r.vec_id for _, r in rows], np.int64)
     q = np.zeros((len(rows), quant.d), np.int64)
     for i, (_, r) in enumerate(rows):
@@ -128,7 +144,7 @@ def _search(file: DataFrame, rows: list, quant: Quantiser, k: int) -> DataFrame:
 
     def fn(batches):
         ids, q = shared.value
-        best: list = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(ids)
+        best: list = [_NONE] * len(ids)
         for b in batches:
             own = np.asarray(b.column(0))
             n = len(own)
@@ -140,16 +156,13 @@ def _search(file: DataFrame, rows: list, quant: Quantiser, k: int) -> DataFrame:
             for i in range(len(ids)):
                 table = quant.bounds(q[i]).ravel()
                 upper = table[at].sum(axis=0)
-                gi, gs = _best(q[i], ids[i], own, z, upper, k)
-                gi, gs = np.concatenate([best[i][0], gi]), np.concatenate([best[i][1], gs])
-                o = np.lexsort((gi, -gs))[:k]
-                best[i] = gi[o], gs[o]
+                best[i] = _best(q[i], ids[i], own, z, upper, k, best[i])
         lens = [len(x[0]) for x in best]
         if sum(lens):
             row = np.repeat(np.arange(len(ids)), lens)
             yield pa.RecordBatch.from_arrays([pa.array(row + first), pa.array(ids[row]), pa.array(np.concatenate([x[0] for x in best])), pa.array(np.concatenate([x[1] for x in best]))], names=["query_row", "query_id", "vec_id", "score"])
 
-    return file.mapInArrow(fn, "query_row long, query_id long, vec_id long, score long")
+    return file.select("vec_id", "cells", "z").mapInArrow(fn, "query_row long, query_id long, vec_id long, score long")
 
 
 ORACLE = """
