@@ -5,7 +5,7 @@ depth 3 over a bounded sample of labelled rows give conjunctive rules (every pat
 from the root to a node); lasso logistic regression weighs them, and what keeps a
 weight is compiled into one column. Scoring runs no Python.
 
-The sample holds at most ``sample`` rows, those of smallest hash of doc_id, so the
+The sample holds at most ``sample`` labels and as many rows, those of smallest hash of doc_id, so the
 bound is a parameter and the choice depends on the rows alone. Only its statistics
 reach the driver; the label ids that pick it are broadcast, at most ``sample``.
 
@@ -148,7 +148,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> Ensemble:
     if low.count() < min(n, sample):
         low = y
     chosen = low.orderBy(h, "doc_id", "y").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("y", *(c.alias(k) for k, c in cols.items())).toPandas()
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", F.xxhash64("text").alias("th"), "y", *(c.alias(k) for k, c in cols.items()))
+    rows = rows.orderBy(h, "doc_id", "th", "y").limit(sample).toPandas()  # a doc_id may have any number of rows
     return fit(rows[list(cols)].to_numpy(float), rows["y"].to_numpy(float), list(cols))
 
 
