@@ -421,10 +421,14 @@ def main_text(root: Node, nodes: list[Node], odds: np.ndarray) -> str:
     return "\n".join(text for node, text in blocks(root) if id(node) in kept)
 
 
-def report(pages: DataFrame, sample: int = 200) -> DataFrame:
-    """Per page: page_id, url, text, n_chars."""
+def report(pages: DataFrame, sample: int = 200, sample_chars: int = 200_000) -> DataFrame:
+    """Per page: page_id, url, text, n_chars.
+
+    The trees' sample has at most ``sample`` pages of under ``sample_chars`` characters each, which bounds what the
+    driver holds; text is extracted from every page, of any length.
+    """
     pages = pages.select(F.col("page_id"), F.col("url"), F.col("html"))
-    whole = pages.filter("html is not null and length(html) < 200000 and page_id is not null")
+    whole = pages.filter("html is not null and page_id is not null").filter(F.length("html") < sample_chars)
     # ids first, so that tasks send their smallest ids to be merged and not their pages
     ids = [r.page_id for r in whole.select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(sample).collect()]
     chosen = [r.html for r in whole.filter(F.col("page_id").isin(ids)).select("html", "page_id").orderBy("page_id", "html").limit(sample).collect()] if ids else []
