@@ -6,8 +6,9 @@ a whole shorter item. The automaton of all items is walked by each document's
 words; the current state knows the longest suffix read so far that some item holds.
 
 The items are the only thing broadcast, in blocks of at most ``block_words`` words
-(an item is not split): memory is bounded however large the benchmark is, and each
-block is one more pass over the documents. Documents are never shuffled.
+(an item is not split). Each block is a pass of its own over the documents, written
+before the next begins, so a task holds one block's automaton (some 100 MB) however
+large the benchmark is. Documents are never shuffled.
 
 Only stretches whose words all stand in some item can hold a window, so the others
 are skipped before the walk; this is exact.
@@ -28,10 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lattica.llm.common import binary
+from lattica.llm.common import Scratch, binary, guarded
 
 WINDOW = 10
-BLOCK_WORDS = 1_000_000
+BLOCK_WORDS = 200_000
 SPLIT = bytes(c + 32 if 0x41 <= c <= 0x5A else 0x20 if c < 0x30 or 0x3A <= c <= 0x60 or 0x7B <= c <= 0x7F else c for c in range(256))
 _WORD = re.compile(rb"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
 
@@ -51,7 +52,8 @@ class Automaton:
             last = 0
             for c in ids:
                 last = self._extend(last, c)
-        self.items: list[set] = [set() for _ in self.next]
+        #: The items that hold a window, at the state that first stands for it.
+        self.items: dict[int, set] = {}
         #: For each state, lengths of whole short items that are suffixes of its strings, and the items.
         self.short: dict[int, list[tuple[int, object]]] = {}
         self.least = window
@@ -61,10 +63,11 @@ class Automaton:
             s = 0
             for n, c in enumerate(ids, 1):
                 s = self.next[s][c]
-                t = s
-                while t > 0 and k not in self.items[t]:
-                    self.items[t].add(k)
-                    t = self.link[t]
+                if n >= window:
+                    t = s
+                    while self.len[self.link[t]] >= window:
+                        t = self.link[t]
+                    self.items.setdefault(t, set()).add(k)
             if len(ids) < window:
                 self.short.setdefault(s, []).append((len(ids), k))
         for s in sorted(range(1, len(self.next)), key=self.len.__getitem__):
@@ -189,8 +192,12 @@ def _pass(df: DataFrame, auto: Automaton, first: bool) -> DataFrame:
 
 def with_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """docs with ``__n``, ``__spans`` and ``__items``."""
-    out = docs
+    scratch, out = Scratch(docs.sparkSession, "hits"), docs
     for i, auto in enumerate(blocks(benchmark, window, block_words)):
+        if i:
+            out = scratch.save(out, f"pass{i}")
+            if i > 1:
+                scratch.drop(f"pass{i - 1}")
         out = _pass(out, auto, first=not i)
     return out
 
@@ -205,6 +212,7 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_wo
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = 0.8) -> DataFrame:
     """docs with hit spans cut from their texts; documents that are hit in more than ``coverage`` of their words go."""
+    docs, named = guarded(docs, "text", "n_chars")
     hits = with_hits(docs, benchmark, window)
     share = F.aggregate("__spans", F.lit(0).cast("long"), lambda x, s: x + s[1] - s[0]) / F.greatest("__n", F.lit(1))
     hits = hits.filter(share <= coverage)
@@ -229,4 +237,4 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
     out = hits.mapInArrow(fn, schema).withColumn("text", F.coalesce("__text", "text"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("__text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(docs.columns)
+    return named(out.select(docs.columns))
