@@ -13,9 +13,9 @@ corpus): so many full epochs, then a part of one more.
 Blocks. Documents are dealt by hash into blocks of about ``block_tokens`` tokens of
 one source, and each epoch orders a source's blocks by a fresh hash, and documents
 within a block likewise. The last epoch takes blocks in that order while they fit:
-first whole cells (1/CELLS of the order), then blocks of the next cell, then
-documents of the next block, so each step sorts a bounded list per source, not a
-source. ``position`` in [0, 1) puts the blocks of all sources in proportion.
+first whole cells (1/cells of the order, about as many cells as a cell has blocks),
+then blocks of the next cell, then documents of the next block, so each step sorts a
+short list per source, not a source. ``position`` in [0, 1) puts the blocks of all sources in proportion.
 
 A hot source meets only aggregates with map-side parts and a join with the table of
 sources, which is broadcast while small and else split by adaptive execution.
@@ -34,9 +34,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from lattica.llm.common import Scratch
+from lattica.llm.common import Scratch, guarded
 
-GRID, ROUNDS, CELLS = 64, 5, 1024
+GRID, ROUNDS = 64, 5
 TOKEN = r"[^\x20\x09-\x0D]+"
 
 
@@ -94,8 +94,11 @@ def plan(docs: DataFrame, scratch: Scratch, entropy: float, max_epochs: float, b
     full = F.floor(F.col("want") / F.col("tokens") + 1e-12).cast("long")
     out = shares.withColumn("want", want).withColumn("full", full).withColumn("rest", F.greatest(F.lit(0), F.col("want") - F.col("full") * F.col("tokens"))).withColumn("n_blocks", F.greatest(F.lit(1), F.ceil(F.col("tokens") / block_tokens)).cast("long"))
     out = scratch.save(out.select("key", "tokens", "want", "full", "rest", "n_blocks"), "budgets")
+    # cells and the blocks of a cell are both about the root of the blocks
+    cells_n = 1 << max(5, math.ceil(math.log2(out.agg(F.max("n_blocks")).first()[0] or 1) / 2))
+    out = out.withColumn("cells", F.lit(cells_n))
     # the last epoch's limits, from coarse to fine
-    last = _placed(rows.join(out.filter("rest > 0").select("key", "full", "rest", "n_blocks"), "key"), F.col("full"), seed)
+    last = _placed(rows.join(out.filter("rest > 0").select("key", "full", "rest", "n_blocks", "cells"), "key"), F.col("full"), seed)
     cells = last.groupBy("key", "cell").agg(F.sum("n").alias("n"), F.max("rest").alias("rest"))
     edge = _edge(cells, "cell").withColumnRenamed("rest", "rest1")
     inner = last.drop("rest").join(edge, ["key", "cell"]).withColumn("rest", F.col("rest1"))
@@ -112,7 +115,7 @@ def _placed(rows: DataFrame, epoch, seed: int) -> DataFrame:
     """Adds block, and its place u and the document's place v in the epoch's order."""
     block = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col("n_blocks"))
     u, v = _unit(F.lit(seed), "key", "block", epoch), _unit(F.lit(seed), epoch, "doc_id")
-    return rows.withColumn("block", block).withColumn("u", u).withColumn("v", v).withColumn("cell", F.floor(F.col("u") * CELLS).cast("int"))
+    return rows.withColumn("block", block).withColumn("u", u).withColumn("v", v).withColumn("cell", F.floor(F.col("u") * F.col("cells")).cast("int"))
 
 
 def _edge(sums: DataFrame, by: str) -> DataFrame:
@@ -125,6 +128,7 @@ def _edge(sums: DataFrame, by: str) -> DataFrame:
 def mix(docs: DataFrame, entropy: float = 0.98, max_epochs: float = 4.0, budget: int | None = None, block_tokens: int = 1 << 16, seed: int = 17) -> DataFrame:
     """docs as drawn: each row once per epoch it is in, with ``__epoch``, ``__block`` and ``__position``."""
     scratch = Scratch(docs.sparkSession, "mixing")
+    docs, named = guarded(docs, "doc_id", "text", "source")
     p = plan(docs, scratch, entropy, max_epochs, budget, block_tokens, seed)
     p = p.select(*(F.col(c).alias(f"__{c}") for c in p.columns))
     some = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
@@ -134,13 +138,13 @@ def mix(docs: DataFrame, entropy: float = 0.98, max_epochs: float = 4.0, budget:
     u = lambda epoch: _unit(F.lit(seed), "__key", "__block", epoch)
     v = lambda epoch: _unit(F.lit(seed), epoch, "doc_id")
     last = F.col("__full")
-    cell = F.floor(u(last) * CELLS).cast("int")
+    cell = F.floor(u(last) * F.col("__cells")).cast("int")
     taken = F.when(F.col("__rest") <= 0, False).when(F.col("__cell_limit").isNull(), True).when(cell != F.col("__cell_limit"), cell < F.col("__cell_limit"))
     taken = taken.when(u(last) != F.col("__u_limit"), u(last) < F.col("__u_limit")).otherwise(F.coalesce(v(last) <= F.col("__v_limit"), F.lit(False)))
     copies = last + F.when(taken, 1).otherwise(0)
     rows = rows.withColumn("__copies", copies).filter("__copies > 0").withColumn("__epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__copies") - 1)))
     position = (F.col("__epoch") + u(F.col("__epoch"))) / (F.col("__want") / F.col("__tokens"))
-    return rows.withColumn("__position", F.least(position, F.lit(1.0 - 2**-53))).select(*cols, "__epoch", "__block", "__position")
+    return named(rows.withColumn("__position", F.least(position, F.lit(1.0 - 2**-53))).select(*cols, "__epoch", "__block", "__position"))
 
 
 def report(docs: DataFrame, **options) -> DataFrame:
