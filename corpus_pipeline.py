@@ -15,7 +15,7 @@ from lattica.llm.common import Scratch, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (no text, or no letter in it) go."""
+    """Documents without a language go: no text, no letter, or trigrams that no mixture of languages explains."""
     return language.identified(docs)
 
 
@@ -35,9 +35,16 @@ def decontaminate_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The columns of docs with epoch, block and position of each drawn row."""
-    out = mixing.mix(docs)
-    return out.select(*docs.columns, *(F.col(f"__{c}").alias(f"mix_{c}") for c in ("epoch", "block", "position")))
+    """The columns of docs with mix_epoch, mix_block and mix_position of each drawn row (with _ added where docs has the name)."""
+    plain = docs.toDF(*(c if c in ("doc_id", "text", "source") else f"c{i}" for i, c in enumerate(docs.columns)))
+    out = mixing.mix(plain)
+    own = [F.col(p).alias(c) for p, c in zip(plain.columns, docs.columns, strict=True)]
+    for c in ("epoch", "block", "position"):
+        name = f"mix_{c}"
+        while name in docs.columns:
+            name += "_"
+        own.append(F.col(f"__{c}").alias(name))
+    return out.select(*own)
 
 
 STAGES = [
