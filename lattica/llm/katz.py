@@ -1,27 +1,32 @@
-"""Katz backoff bigram model: Good-Turing discounts, exactly normalised backoff.
-
-P(w | v) = d_r r / D(v) for a bigram seen r > 0 times, else alpha(v) P(w); v is the
-word before, or the start of the text. d_r is Good-Turing's discount for r up to
-``K`` and 1 above (where counts of counts are too thin for it: 1 - 0.5 / r). P(w) is
-discounted alike and what is left goes to the one unknown word. D(v) is v's count,
-plus one where nothing is discounted (all its r are above K) or v makes up over
-1/HOT of all tokens, so there is always mass to back off to. alpha(v) shares what is
-left of v's mass among the words not seen after v, so each context sums to 1.
+"""Katz backoff n-gram model: Good-Turing discounts, exactly normalised backoff.
+
+P(w | v) = d_r r / D(v) for an n-gram (v, w) seen r > 0 times, else alpha(v) P(w | v'),
+where v are the n - 1 words before (back to the start of the text, which counts as a
+word) and v' is v without its first word; the recursion ends at P(w). d_r is
+Good-Turing's discount of the n-grams of that order for r up to ``K`` and 1 above (where
+counts of counts are too thin for it: 1 - 0.5 / r). P(w) is discounted alike and what is
+left goes to the one unknown word. D(v) is v's count, plus one where nothing is
+discounted (all its r are above K) or v makes up over 1/HOT of all tokens, so there is
+always mass to back off to. alpha(v) shares what is left of v's mass among the words not
+seen after v, so each context sums to 1. A text's first words have the contexts they
+have: the first word a bigram's, the second a trigram's.
 
 Texts are read once: per batch of about ``BATCH`` bytes, tokens become indices into
 the batch's sorted distinct words. All that crosses the network are packed blocks,
-with one entry per batch and distinct word or bigram:
+with one entry per batch and distinct word or n-gram:
 
 words    blocks are dealt by word hash; each partition counts its words, gives them
-         ids and answers each block.
-bigrams  batches, joined with their answers, deal their distinct bigrams by context,
-         so a context's counts and backoff sums meet in one partition; contexts over
-         1/HOT of all tokens (at most HOT of them) are dealt by the bigram instead, and
-         their few sums are put together afterwards. Each block is answered by r.
-scores   batches, joined with both answers, are evaluated token by token.
-
-The tables of counts are never collected or broadcast, only counts of counts and the
-hot contexts' sums. All stages are written to the shared folder.
+         ids (frequent words small ones) and answers each block.
+n-grams  for each order from 2, batches, joined with the answers of the order below,
+         deal their distinct n-grams by context, so a context's counts and backoff sums
+         meet in one partition; contexts over 1/HOT of all tokens (at most HOT of them)
+         are dealt by the n-gram instead, and their few sums are put together
+         afterwards. Each block is answered by r.
+scores   batches, joined with all answers, are evaluated token by token.
+
+Each order's partitioned table of counts and sums, in the form of its answers, is
+written to the shared folder; tables of counts are never collected or broadcast, only
+counts of counts and the hot contexts' sums.
 
 Defined cases: null text has just the end token; a null doc_id is learnt from;
 repeated rows count again; with nothing to learn from every probability is that of
@@ -44,7 +49,8 @@ from lattica.llm.hashing import U, mix, words
 
 K, HOT, BATCH = 5, 1000, 1 << 23
 END = U(0xE5D0C1B2A3948576)
-START = (1 << 32) - 1
+START = U((1 << 64) - 1)
+ORDER = 3
 BATCHES = "bid long, doc_id array<long>, held array<boolean>, ends binary, tokens binary, part binary, vocab binary, seen binary, counts binary, what string"
 
 
@@ -106,39 +112,47 @@ def _part(vocab: np.ndarray, parts: int) -> np.ndarray:
     return mix(vocab) % U(parts)
 
 
-def _dealt(bid: int, part: np.ndarray, cols: list[np.ndarray]):
-    """(pid, bid, packed columns) of the entries of each partition; the first column, which is sorted, as differences."""
-    order = np.argsort(part, kind="stable")
-    cuts = np.flatnonzero(np.diff(part[order].astype(np.int64), prepend=-1))
+def _dealt(bid: int, order: np.ndarray, cuts: np.ndarray, cols: list[np.ndarray]):
+    """(pid, bid, packed columns) of the entries of each partition, in ``order``; the first column, which rises, as differences."""
     rows = []
-    for lo, hi in zip(cuts, [*cuts[1:], len(order)], strict=True):
-        own = order[lo:hi]
+    for pid in np.flatnonzero(np.diff(cuts)):
+        own = order[cuts[pid] : cuts[pid + 1]]
         first = cols[0][own]
         first[1:] -= first[:-1].copy()
-        rows.append((int(part[own[0]]), _pack(first, *(c[own] for c in cols[1:]))))
+        rows.append((int(pid), _pack(first, *(c[own] for c in cols[1:]))))
     return pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int32()), pa.array([bid] * len(rows), pa.int64()), pa.array([d for _, d in rows], pa.binary())], names=["pid", "bid", "data"])
 
 
+def _order(part: np.ndarray, first: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order by partition and first column, each partition's cuts in it)."""
+    order = np.argsort(first, kind="stable")
+    part = part[order].astype(np.uint16 if parts < 1 << 16 else np.int64)
+    own = np.argsort(part, kind="stable")
+    return order[own], np.searchsorted(part[own], np.arange(parts + 1))
+
+
 def _ask_words(parts: int):
     def fn(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 vocab, seen = (_unpack(batch.column(j)[i].as_buffer(), t)[0] for j, t in ((1, "<u8"), (2, "<u4")))
                 vocab = np.cumsum(vocab, dtype=U)
-                yield _dealt(batch.column(0)[i].as_py(), _part(vocab, parts), [vocab, seen])
+                yield _dealt(batch.column(0)[i].as_py(), *_order(_part(vocab, parts), vocab, parts), [vocab, seen])
 
     return fn
 
 
+ASK = "pid int, bid long, data binary"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-ANSWER = "bid long, pid int, data binary, kind int, a long, b long"
+#: kind 0: answers; 1: counts of counts; 2: totals; 3: words and n-grams that may be hot contexts; 4: sums of hot contexts.
+ANSWER = "bid long, pid int, data binary, kind int, a long, b long, sums array<double>"
 
 
 def _answers(rows: list[tuple], pid: int) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True))
-    kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64()]
-    bid, data, kind, a, b = (pa.array(c, t) for c, t in zip(cols, kinds, strict=True))
-    return pa.RecordBatch.from_arrays([bid, pa.array([pid] * len(rows), pa.int32()), data, kind, a, b], names=["bid", "pid", "data", "kind", "a", "b"])
+    cols = list(zip(*((*r, None)[:6] for r in rows), strict=True))
+    kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.float64())]
+    bid, data, kind, a, b, sums = (pa.array(c, t) for c, t in zip(cols, kinds, strict=True))
+    return pa.RecordBatch.from_arrays([bid, pa.array([pid] * len(rows), pa.int32()), data, kind, a, b, sums], names=["bid", "pid", "data", "kind", "a", "b", "sums"])
 
 
 def _two(a: bytes, b: bytes) -> bytes:
@@ -150,29 +164,34 @@ def _counts_of(r: np.ndarray) -> list[tuple]:
     return [(None, None, 1, i, int(n[i])) for i in range(1, K + 2)]
 
 
+def _gathered(batches, kinds: str):
+    """(partition, batches' numbers, their blocks' sizes, columns of all blocks)."""
+    bids, blocks, pid = [], [], 0
+    for batch in batches:
+        for p, bid, d in zip(*(batch.column(j).to_pylist() for j in range(3)), strict=True):
+            pid = p
+            bids.append(bid)
+            blocks.append(_unpack(d, kinds))
+            np.cumsum(blocks[-1][0], out=blocks[-1][0])
+    return pid, bids, [len(b[0]) for b in blocks], [np.concatenate(x) for x in zip(*blocks, strict=True)]
+
+
 def _count_words(parts: int):
     def fn(batches):
-        bids, blocks, pid = [], [], 0
-        for batch in batches:
-            for p, bid, d in zip(*(batch.column(j).to_pylist() for j in range(3)), strict=True):
-                pid = p
-                bids.append(bid)
-                blocks.append(_unpack(d, "<u8 <u4"))
-                np.cumsum(blocks[-1][0], out=blocks[-1][0])
-        if not blocks:
+        pid, bids, sizes, cols = _gathered(batches, "<u8 <u4")
+        if not bids:
             return
-        sizes = [len(h) for h, _ in blocks]
-        uniq, at = np.unique(np.concatenate([h for h, _ in blocks]), return_inverse=True)
-        c = np.bincount(at, np.concatenate([s for _, s in blocks]), len(uniq)).astype(np.int64)
-        if len(uniq) * parts >= START:
-            raise ValueError("over 2^32 distinct words")
+        uniq, at = np.unique(cols[0], return_inverse=True)
+        c = np.bincount(at, cols[1], len(uniq)).astype(np.int64)
+        ids = np.empty(len(uniq), "<u8")
+        ids[np.argsort(-c, kind="stable")] = np.arange(len(uniq), dtype="<u8") * U(parts) + U(pid)
         stats = [*_counts_of(c), (None, None, 2, int(c.sum()), int((c > 0).sum()))]
-        stats += [(None, None, 3, int(i) * parts + pid, int(c[i])) for i in np.flatnonzero(c * HOT > c.sum())]
+        stats += [(None, ids[i : i + 1].tobytes(), 3, 0, int(c[i])) for i in np.flatnonzero(c * HOT > c.sum())]
         yield _answers(stats, pid)
         cuts = np.concatenate([[0], np.cumsum(sizes)])
         for i, bid in enumerate(bids):
             own = at[cuts[i] : cuts[i + 1]]
-            yield _answers([(bid, _pack(c[own], (own * parts + pid).astype("<u4")), 0, 0, 0)], pid)
+            yield _answers([(bid, _pack(c[own], ids[own]), 0, 0, 0)], pid)
 
     return fn
 
@@ -205,148 +224,214 @@ class Unigrams(Discounts):
         """P of words of count c; the unknown word's where c is 0."""
         return np.where(c > 0, self.mass(c) / max(1, self.total + self.extra), self.unknown)
 
+    def logp(self, c: np.ndarray) -> np.ndarray:
+        return np.log10(self.p(c))
+
     def base(self, c: np.ndarray) -> np.ndarray:
         return np.log10((c + 0.1) / (self.total + 0.1 * (self.distinct + 1)))
 
 
 def _known(part: np.ndarray, answers: list) -> tuple[np.ndarray, np.ndarray]:
     """Count and id of each of a batch's words."""
-    c, ids = np.zeros(len(part), np.int64), np.zeros(len(part), np.int64)
+    c, ids = np.zeros(len(part), np.int64), np.zeros(len(part), U)
     order = np.argsort(part, kind="stable")
     at = np.searchsorted(part[order], np.arange(int(part.max()) + 2))
     for a in answers:
         own = order[at[a["pid"]] : at[a["pid"] + 1]]
-        c[own], ids[own] = _unpack(a["data"], "<i8 <u4")
+        c[own], ids[own] = _unpack(a["data"], "<i8 <u8")
     return c, ids
 
 
-def _bigrams(tokens: np.ndarray, ends: np.ndarray, ids: np.ndarray):
-    """(distinct keys v << 32 | w, each token's place in them)."""
-    w = ids[tokens].astype(U)
-    v = np.empty_like(w)
-    v[1:] = w[:-1]
-    v[np.concatenate([[0], ends[:-1]])] = U(START)
-    return np.unique((v << U(32)) | w, return_inverse=True)
+def _alpha(sums: np.ndarray, d: np.ndarray, hot) -> tuple[np.ndarray, np.ndarray]:
+    """(alpha, D) of contexts with sums: counts of r = 1..K, the sum of larger r, the seen words' P."""
+    r = np.arange(1, K + 1)
+    count = r @ sums[:K] + sums[K]
+    big_d = count + (hot | (sums[:K].sum(axis=0) == 0))
+    kept = (d[1 : K + 1] * r) @ sums[:K] + sums[K]
+    alpha = np.where(count > 0, (1 - kept / np.maximum(big_d, 1)) / np.maximum(1 - sums[K + 1], 1e-300), 1.0)
+    return alpha, big_d
+
 
+def _chain(cols: list[np.ndarray]) -> np.ndarray:
+    """A hash of each row of id columns."""
+    h = mix(cols[0] + U(0x9E3779B97F4A7C15))
+    for c in cols[1:]:
+        h = mix(h * U(0xD1342543DE82EF95) + c)
+    return h
+
+
+class Hot:
+    """The contexts of one order that are split, by their ids; those whose hashes agree with an earlier one's stay whole."""
+
+    def __init__(self, cols: list[np.ndarray]):
+        h = _chain(cols)
+        self.h, at = np.unique(h, return_index=True)
+        self.cols = [c[at] for c in cols]
+
+    def find(self, cols: list[np.ndarray], h: np.ndarray) -> np.ndarray:
+        """Each context's number, or -1."""
+        if not len(self.h):
+            return np.full(len(h), -1)
+        i = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
+        same = self.h[i] == h
+        for own, c in zip(self.cols, cols, strict=True):
+            same &= own[i] == c
+        return np.where(same, i, -1)
+
+
+class Level:
+    """What is known of one order: its discounts and its hot contexts' alpha and D."""
+
+    def __init__(self, counts: dict[int, int], hot: Hot, sums: np.ndarray):
+        self.discounts, self.hot = Discounts(counts), hot
+        alpha, d = _alpha(sums, self.discounts.d, True)
+        # one more at the end, where -1 points: contexts that are not hot
+        self.alpha, self.d = np.append(np.log10(np.maximum(alpha, 1e-300)), 0.0), np.append(d, 0).astype(np.int64)
+
+
+class Grams:
+    """A batch's distinct n-grams of one order: context, last word and lower n-gram by their numbers in the batch, and ids."""
+
+    def __init__(self, at: np.ndarray, ctx: np.ndarray, w: np.ndarray, low: np.ndarray, valid: np.ndarray, ctx_ids: list[np.ndarray], ids: np.ndarray):
+        key, inverse = np.unique(ctx[valid] * np.int64(len(ids)) + w[valid], return_inverse=True)
+        self.ctx, self.w = key // len(ids), key % len(ids)
+        self.at = np.full(len(at), -1, np.int64)  # each token's n-gram
+        self.at[valid] = inverse
+        self.low = np.zeros(len(key), np.int64)
+        self.low[inverse] = low[valid]
+        self.context = [c[self.ctx] for c in ctx_ids]
+        self.ids = [*self.context, ids[self.w]]
+
+    def deal(self, hot: Hot, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(order, cuts of partitions, hot contexts' numbers)."""
+        h = _chain(self.context)
+        i = hot.find(self.context, h)
+        part = np.where(i >= 0, mix(h ^ mix(self.ids[-1])), h) % U(parts)
+        return *_order(part, self.ids[0], parts), i
+
+
+class Batch:
+    """A batch with the answers of some orders."""
+
+    def __init__(self, batch, i: int, columns: dict[str, int], uni, levels: list[Level], hot: Hot | None, parts: int, scores: bool):
+        unpacked = lambda name: _unpack(batch.column(columns[name])[i].as_buffer(), "<u4")[0]
+        self.held = np.asarray(batch.column(columns["held"])[i].as_py(), bool)
+        ends, counts, part = unpacked("ends").astype(np.int64), unpacked("counts"), unpacked("part")
+        self.tokens, self.starts, self.sizes = _by_count(counts)[unpacked("tokens")], np.concatenate([[0], ends[:-1]]).astype(np.int64), np.diff(ends, prepend=0)
+        self.c, ids = _known(part, batch.column(columns["l1"])[i].as_py())
+        n, first = len(self.tokens), np.zeros(len(self.tokens), bool)
+        first[self.starts] = True
+        at, low_r, ctx_ids = self.tokens, self.c, [np.append(ids, START)]
+        self.logp = [uni.logp(self.c)[self.tokens]] if scores else []
+        logp, below = (uni.logp(self.c) if scores else None), None
+        self.grams = self.low = None
+        for order in range(2, 2 + len(levels) + (hot is not None)):
+            ctx = np.empty(n, np.int64)
+            ctx[1:] = at[:-1]
+            ctx[first] = len(ids) if order == 2 else -1
+            g = Grams(at, ctx, self.tokens, at, ctx >= 0, ctx_ids, ids)
+            if order - 2 == len(levels):  # still to be asked
+                self.grams, self.dealt, self.low = g, g.deal(hot, parts), [low_r[g.low]] if below is None else [low_r[g.low], below[g.low]]
+                break
+            level = levels[order - 2]
+            deal, cuts, hots = g.deal(level.hot, parts)
+            r, plain, back = np.zeros(len(g.w), np.int64), np.zeros(len(g.w), np.int64), np.zeros(len(g.w))
+            for a in batch.column(columns[f"l{order}"])[i].as_py():
+                own = deal[cuts[a["pid"]] : cuts[a["pid"] + 1]]
+                size = int.from_bytes(a["data"][:8], "little")
+                r[own], plain[own] = _unpack(a["data"][8 : 8 + size], "<i8 u1")
+                if scores:
+                    sums = np.stack(_unpack(a["data"][8 + size :], "<f8 " * (K + 2)))
+                    back[own[(r[own] == 0) & (hots[own] < 0)]] = np.log10(np.maximum(_alpha(sums, level.discounts.d, False)[0], 1e-300))
+            of = np.append(low_r, 0)[g.ctx] if order == 2 else low_r[g.ctx]  # the contexts' counts; the start is hot
+            big_d = np.where(hots >= 0, level.d[hots], of + plain)
+            if scores:
+                seen = r > 0
+                back = np.where(hots >= 0, level.alpha[hots], back) + logp[g.low]
+                logp = back
+                logp[seen] = np.log10(level.discounts.mass(r[seen])) - np.log10(np.maximum(big_d[seen], 1))
+                self.logp.append(np.where(g.at >= 0, logp[g.at], self.logp[-1]))
+            at, low_r, below, ctx_ids = g.at, r, big_d, g.ids
+
+    def asked(self, bid: int) -> pa.RecordBatch:
+        """The blocks that ask for the order that is not known yet."""
+        g, (order, cuts, _) = self.grams, self.dealt
+        train = (g.at >= 0) & np.repeat(~self.held, self.sizes)
+        seen = np.bincount(g.at[train], minlength=len(g.w)).astype("<u4")
+        return _dealt(bid, order, cuts, [*g.ids, seen, *self.low])
+
+
+def _rows(columns: list[str], *args):
+    """Each row of the joined table as a Batch."""
+    place = {c: j for j, c in enumerate(columns)}
 
-def _contexts(keys: np.ndarray, hot: np.ndarray, parts: int) -> np.ndarray:
-    v = keys >> U(32)
-    at = np.minimum(np.searchsorted(hot, v), max(len(hot) - 1, 0))
-    split = hot[at] == v if len(hot) else np.zeros(len(v), bool)
-    return (mix(np.where(split, keys, v)) % U(parts)).astype(np.int64)
+    def fn(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                yield batch, i, Batch(batch, i, place, *args)
 
+    return fn
 
-def _batch(batch, i: int, first: int):
-    """ends, tokens and part of a joined row."""
-    ends, tokens, part, counts = (_unpack(batch.column(first + j)[i].as_buffer(), "<u4")[0] for j in range(4))
-    return ends, _by_count(counts)[tokens], part
 
+def _ask(columns: list[str], uni, levels: list[Level], hot: Hot, parts: int):
+    each = _rows(columns, uni, levels, hot, parts, False)
 
-def _ask_bigrams(parts: int, hot: np.ndarray):
     def fn(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                held = np.asarray(batch.column(1)[i].as_py(), bool)
-                ends, tokens, part = _batch(batch, i, 2)
-                c, ids = _known(part, batch.column(6)[i].as_py())
-                keys, at = _bigrams(tokens, ends, ids)
-                train = np.repeat(~held, np.diff(ends.astype(np.int64), prepend=0))
-                seen = np.bincount(at[train], minlength=len(keys))
-                last = np.zeros(len(keys), np.int64)
-                last[at] = c[tokens]
-                cols = [(keys >> U(32)).astype("<u4"), (keys & U(START)).astype("<u4"), seen.astype("<u4"), last]  # ids are below 2^32
-                yield _dealt(batch.column(0)[i].as_py(), _contexts(keys, hot, parts), cols)
+        for batch, i, b in each(batches):
+            yield b.asked(batch.column(columns.index("bid"))[i].as_py())
 
     return fn
 
 
-def _count_bigrams(uni: Unigrams, hot: np.ndarray):
+def _count(order: int, uni, below: Discounts | None, hot: Hot, total: int):
+    """Counts of one order's n-grams and their contexts' sums; answers to all blocks."""
+
     def fn(batches):
-        bids, blocks, pid = [], [], 0
-        for batch in batches:
-            for p, bid, d in zip(*(batch.column(j).to_pylist() for j in range(3)), strict=True):
-                pid = p
-                bids.append(bid)
-                blocks.append(_unpack(d, "<u4 <u4 <u4 <i8"))
-                np.cumsum(blocks[-1][0], out=blocks[-1][0])
-        if not blocks:
+        pid, bids, sizes, cols = _gathered(batches, "<u8 " * order + "<u4 <i8" + " <i8" * (order > 2))
+        if not bids:
             return
-        cuts = np.concatenate([[0], np.cumsum([len(b[0]) for b in blocks])])
-        v, w, seen, c = (np.concatenate(x) for x in zip(*blocks, strict=True))
-        del blocks
-        keys, first, at = np.unique((v.astype(U) << U(32)) | w, return_index=True, return_inverse=True)
-        r = np.bincount(at, seen, len(keys)).astype(np.int64)
-        p = np.where(r > 0, uni.p(c[first]), 0.0)
-        contexts, of = np.unique(keys >> U(32), return_inverse=True)
-        n = len(contexts)
+        ids, seen, low = cols[:order], cols[order], cols[order + 1 :]
+        del cols
+        by = np.lexsort(ids[::-1])
+        changed = [np.concatenate([[True], c[by][1:] != c[by][:-1]]) for c in ids]
+        new_ctx = np.logical_or.reduce(changed[:-1])
+        new = new_ctx | changed[-1]
+        at = np.empty(len(by), np.int64)
+        at[by] = np.cumsum(new) - 1
+        first = by[new]
+        of = (np.cumsum(new_ctx) - 1)[new]
+        n = int(of[-1]) + 1
+        r = np.bincount(at, seen, len(first)).astype(np.int64)
+        lower = uni.p(low[0][first]) if order == 2 else below.mass(low[0][first]) / np.maximum(low[1][first], 1)
+        p = np.where(r > 0, lower, 0.0)
         sums = np.stack([*(np.bincount(of, r == i, n) for i in range(1, K + 1)), np.bincount(of, np.where(r > K, r, 0), n), np.bincount(of, p, n)])
-        is_hot = np.isin(contexts, hot)
+        contexts = [c[by[new_ctx]] for c in ids[:-1]]
+        hots = hot.find(contexts, _chain(contexts))
         rows = [*_counts_of(r)]
-        rows += [(None, sums[:, j].tobytes(), 4, int(contexts[j]), 0) for j in np.flatnonzero(is_hot)]
+        rows += [(None, None, 4, int(hots[j]), 0, sums[:, j].tolist()) for j in np.flatnonzero(hots >= 0)]
+        rows += [(None, b"".join(c[first[j] : first[j] + 1].tobytes() for c in ids), 3, 0, int(r[j])) for j in np.flatnonzero(r * HOT > total)]
         yield _answers(rows, pid)
+        cuts = np.concatenate([[0], np.cumsum(sizes)])
+        plain = (sums[:K].sum(axis=0) == 0) & (hots < 0)
         for i, bid in enumerate(bids):
             own = at[cuts[i] : cuts[i + 1]]
-            code = r[own]
-            none = np.zeros(len(own), bool)
             ctx = of[own]
-            # a context that is not hot sends its sums where they are needed: unseen words, and D
-            plain = (sums[:K, ctx].sum(axis=0) == 0) & ~is_hot[ctx]
-            none = (code == 0) & ~is_hot[ctx]
-            yield _answers([(bid, _two(_pack(code.astype("<i8"), plain.astype("u1")), _pack(*sums[:, ctx[none]].astype("<f8"))), 0, 0, 0)], pid)
+            # a context that is not hot sends its sums where they are needed: to its unseen words
+            none = (r[own] == 0) & (hots[ctx] < 0)
+            yield _answers([(bid, _two(_pack(r[own], plain[ctx].astype("u1")), _pack(*sums[:, ctx[none]].astype("<f8"))), 0, 0, 0)], pid)
 
     return fn
 
 
-def _alpha(sums: np.ndarray, d: np.ndarray, hot) -> tuple[np.ndarray, np.ndarray]:
-    """(alpha, D) of contexts with sums: counts of r = 1..K, the sum of larger r, the seen words' P."""
-    r = np.arange(1, K + 1)
-    count = r @ sums[:K] + sums[K]
-    big_d = count + (hot | (sums[:K].sum(axis=0) == 0))
-    kept = (d[1 : K + 1] * r) @ sums[:K] + sums[K]
-    alpha = np.where(count > 0, (1 - kept / np.maximum(big_d, 1)) / np.maximum(1 - sums[K + 1], 1e-300), 1.0)
-    return alpha, big_d
-
-
-def _evaluate(uni: Unigrams, bi: Discounts, hot: np.ndarray, hot_sums: np.ndarray, parts: int):
-    alpha, big_d = _alpha(hot_sums, bi.d, True)
-    hot_alpha, hot_d = np.append(np.log10(np.maximum(alpha, 1e-300)), 0.0), np.append(np.log10(np.maximum(big_d, 1)), 0.0)
+def _evaluate(columns: list[str], uni, levels: list[Level], parts: int):
+    each = _rows(columns, uni, levels, None, parts, True)
 
     def fn(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                held = batch.column(1)[i].as_py()
-                ends, tokens, part = _batch(batch, i, 2)
-                c, ids = _known(part, batch.column(6)[i].as_py())
-                keys, at = _bigrams(tokens, ends, ids)
-                pid = _contexts(keys, hot, parts)
-                order = np.argsort(pid, kind="stable")
-                cuts = np.searchsorted(pid[order], np.arange(parts + 1))
-                last = np.zeros(len(keys), np.int64)
-                last[at] = c[tokens]
-                before = np.zeros(len(keys), np.int64)  # the context's count; the start's comes with its sums
-                before[at[1:]] = c[tokens[:-1]]
-                v = keys >> U(32)
-                h = np.minimum(np.searchsorted(hot, v), max(len(hot) - 1, 0)) if len(hot) else np.zeros(len(v), np.int64)
-                is_hot = hot[h] == v if len(hot) else np.zeros(len(v), bool)
-                logp = np.zeros(len(keys))
-                for a in batch.column(7)[i].as_py():
-                    own = order[cuts[a["pid"]] : cuts[a["pid"] + 1]]
-                    n = int.from_bytes(a["data"][:8], "little")
-                    r, plain = _unpack(a["data"][8 : 8 + n], "<i8 u1")
-                    sums = np.stack(_unpack(a["data"][8 + n :], "<f8 " * (K + 2)))
-                    seen, hots = r > 0, is_hot[own]
-                    x = np.empty(len(r))
-                    d = np.where(hots, hot_d[h[own]], np.log10(np.maximum(before[own] + plain, 1)))
-                    x[seen] = np.log10(bi.mass(r[seen])) - d[seen]
-                    back = np.where(hots, hot_alpha[h[own]], 0.0)
-                    back[~seen & ~hots] = np.log10(np.maximum(_alpha(sums, bi.d, False)[0], 1e-300))
-                    x[~seen] = back[~seen] + np.log10(uni.p(last[own[~seen]]))
-                    logp[own] = x
-                cut = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-                add = lambda x: np.add.reduceat(x, cut)
-                cols = [held, np.diff(ends.astype(np.int64), prepend=0), add((c > 0)[tokens].astype(np.int64)), add(uni.base(c)[tokens]), add(logp[at])]
-                kinds = [pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-                yield pa.RecordBatch.from_arrays([pa.array(batch.column(0)[i].as_py(), pa.int64()), *(pa.array(x, t) for x, t in zip(cols, kinds, strict=True))], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+        for batch, i, b in each(batches):
+            add = lambda x: np.add.reduceat(x, b.starts)
+            cols = [b.held, b.sizes, add((b.c > 0)[b.tokens].astype(np.int64)), add(uni.base(b.c)[b.tokens]), add(b.logp[-1])]
+            kinds = [pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array(batch.column(columns.index("doc_id"))[i].as_py(), pa.int64()), *(pa.array(x, t) for x, t in zip(cols, kinds, strict=True))], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
     return fn
 
@@ -361,16 +446,16 @@ def _nothing(spark) -> DataFrame:
     return spark.createDataFrame([], "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-def report(docs: DataFrame, held_out: Column) -> DataFrame:
-    """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+def report(docs: DataFrame, held_out: Column, order: int = ORDER) -> DataFrame:
+    """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; order: the longest n-grams', 2 at least."""
     spark = docs.sparkSession
     scratch, parts = Scratch(spark, "katz"), n_parts(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held"), "text")
     split = scratch.save_apart(rows.mapInArrow(_split(parts), BATCHES), "what", "batches")
     if not split:
         return _nothing(spark)
-    asked = split["words"].select("bid", "vocab", "seen").mapInArrow(_ask_words(parts), "pid int, bid long, data binary").repartitionById(parts, "pid")
-    told = scratch.save(asked.mapInArrow(_count_words(parts), ANSWER), "words")
+    asked = split["words"].select("bid", "vocab", "seen").mapInArrow(_ask_words(parts), ASK).repartitionById(parts, "pid")
+    told = scratch.save(asked.mapInArrow(_count_words(parts), ANSWER), "told1")
     del asked
     scratch.drop("batches/what=words")
     _free(spark)
@@ -378,25 +463,36 @@ def report(docs: DataFrame, held_out: Column) -> DataFrame:
     def counts(df):
         return {r.a: r.n for r in df.filter("kind = 1").groupBy("a").agg(F.sum("b").alias("n")).collect()}
 
+    def hot_ids(df, n):  # at most HOT rows
+        found = sorted(bytes(r.data) for r in df.filter(f"kind = 3 and b * {HOT} > {total}").select("data").collect())
+        return list(np.frombuffer(b"".join(found), "<u8").reshape(-1, n).T)
+
     total, distinct = (x or 0 for x in told.filter("kind = 2").agg(F.sum("a"), F.sum("b")).first())
-    uni = Unigrams(counts(told), total, distinct)
-    hot = sorted(r.a for r in told.filter(f"kind = 3 and b * {HOT} > {total}").select("a").collect())
-    hot = np.array([*hot, START], dtype=U)
+    uni, levels = Unigrams(counts(told), total, distinct), []
+    names = ["bid", "doc_id", "held", "ends", "tokens", "part", "counts"]
     answers = lambda df, name: df.filter("kind = 0").groupBy("bid").agg(F.collect_list(F.struct("pid", "data")).alias(name))
-    batches = split["tokens"].select("bid", "doc_id", "held", "ends", "tokens", "part", "counts")
-    # written once more with their words' answers, so the shuffle files go before the bigrams' come
-    batches = scratch.save(batches.join(answers(told, "words").hint("shuffle_hash"), "bid"), "known")
-    for name in ("batches", "words"):
-        scratch.drop(name)
-    _free(spark)
-    asked = batches.select("bid", "held", "ends", "tokens", "part", "counts", "words").mapInArrow(_ask_bigrams(parts, hot), "pid int, bid long, data binary").repartitionById(parts, "pid")
-    pairs = scratch.save(asked.mapInArrow(_count_bigrams(uni, hot), ANSWER), "bigrams")
-    del asked
-    _free(spark)
-    bi = Discounts(counts(pairs))
-    hot_sums, place = np.zeros((K + 2, len(hot))), {int(v): i for i, v in enumerate(hot)}
-    for r in pairs.filter("kind = 4").select("a", "data").toLocalIterator():
-        hot_sums[:, place[r.a]] += np.frombuffer(r.data, "<f8")
-    joined = batches.join(answers(pairs, "bigrams").hint("shuffle_hash"), "bid")
-    out = joined.select("doc_id", "held", "ends", "tokens", "part", "counts", "words", "bigrams").mapInArrow(_evaluate(uni, bi, hot, hot_sums, parts), SCORES)
+    batches, last = split["tokens"].select(*names), "batches"
+    for n in range(2, order + 1):
+        # written once more with the answers of the order below, so the shuffle files go before the next come
+        names = [*names, f"l{n - 1}"]
+        batches = scratch.save(batches.join(answers(told, names[-1]).hint("shuffle_hash"), "bid").select(*names), f"known{n}")
+        hot = hot_ids(told, n - 1)
+        hot = Hot([np.append(hot[0], START)] if n == 2 else hot)
+        for name in (last, f"told{n - 1}"):
+            scratch.drop(name)
+        last = f"known{n}"
+        _free(spark)
+        need = [c for c in names if c != "doc_id"]
+        asked = batches.select(*need).mapInArrow(_ask(need, uni, levels, hot, parts), ASK).repartitionById(parts, "pid")
+        told = scratch.save(asked.mapInArrow(_count(n, uni, levels[-1].discounts if levels else None, hot, total), ANSWER), f"told{n}")
+        del asked
+        _free(spark)
+        sums = np.zeros((K + 2, len(hot.h)))
+        part = told.filter("kind = 4").groupBy("a").agg(*(F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(K + 2)))
+        for r in part.collect():  # a row per hot context
+            sums[:, r.a] = r[1:]
+        levels.append(Level(counts(told), hot, sums))
+    names = [*names, f"l{order}"]
+    joined = batches.join(answers(told, names[-1]).hint("shuffle_hash"), "bid").select(*names)
+    out = joined.mapInArrow(_evaluate(names, uni, levels, parts), SCORES)
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
