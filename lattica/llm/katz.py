@@ -55,19 +55,29 @@ BATCHES = "bid long, doc_id array<long>, held array<boolean>, ends binary, token
 
 
 def _pack(*cols: np.ndarray, level: int = 1) -> bytes:
-    """Columns of one length, their bytes by significance and compressed: most are small numbers."""
-    planes = [c.view(np.uint8).reshape(len(c), c.itemsize).T.tobytes() for c in map(np.ascontiguousarray, cols)]
-    return zstandard.compress(len(cols[0]).to_bytes(8, "little") + b"".join(planes), level)
+    """Columns of one length, their bytes by significance and compressed; whole numbers (none below 0) in as many bytes as the largest needs."""
+    n, widths, planes = len(cols[0]), [], []
+    for c in map(np.ascontiguousarray, cols):
+        width = c.itemsize if c.dtype.kind == "f" else max(1, -(-int(c.max()).bit_length() // 8)) if n else 1
+        rows = c.view(np.uint8).reshape(n, c.itemsize)
+        widths.append(width)
+        planes += [rows[:, j].tobytes() for j in range(width)]
+    return zstandard.compress(n.to_bytes(8, "little") + bytes(widths) + b"".join(planes), level)
 
 
 def _unpack(data, kinds: str) -> list[np.ndarray]:
-    raw = zstandard.decompress(data)
-    n, at, out = int.from_bytes(raw[:8], "little"), 8, []
-    for kind in map(np.dtype, kinds.split()):
-        size = n * kind.itemsize
-        planes = np.frombuffer(raw, np.uint8, size, at).reshape(kind.itemsize, n)
-        out.append(planes.T.copy().view(kind).ravel())
-        at += size
+    raw, kinds = zstandard.decompress(data), kinds.split()
+    n, at, out = int.from_bytes(raw[:8], "little"), 8 + len(kinds), []
+    for width, kind in zip(raw[8:at], map(np.dtype, kinds), strict=True):
+        if width == 1 and kind.kind != "f":
+            c = np.frombuffer(raw, np.uint8, n, at).astype(kind)
+        else:
+            c = np.zeros(n, kind)
+            rows = c.view(np.uint8).reshape(n, kind.itemsize)
+            for j in range(width):
+                rows[:, j] = np.frombuffer(raw, np.uint8, n, at + j * n)
+        out.append(c)
+        at += n * width
     return out
 
 
@@ -125,8 +135,8 @@ def _dealt(bid: int, order: np.ndarray, cuts: np.ndarray, cols: list[np.ndarray]
 
 def _order(part: np.ndarray, first: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
     """(order by partition and first column, each partition's cuts in it)."""
-    order = np.argsort(first, kind="stable")
-    part = part[order].astype(np.uint16 if parts < 1 << 16 else np.int64)
+    order = np.argsort(first)
+    part = part[order].astype(np.uint16 if parts < 1 << 16 else np.int64)  # short numbers sort by counting
     own = np.argsort(part, kind="stable")
     return order[own], np.searchsorted(part[own], np.arange(parts + 1))
 
@@ -231,11 +241,10 @@ class Unigrams(Discounts):
         return np.log10((c + 0.1) / (self.total + 0.1 * (self.distinct + 1)))
 
 
-def _known(part: np.ndarray, answers: list) -> tuple[np.ndarray, np.ndarray]:
+def _known(part: np.ndarray, answers: list, parts: int) -> tuple[np.ndarray, np.ndarray]:
     """Count and id of each of a batch's words."""
     c, ids = np.zeros(len(part), np.int64), np.zeros(len(part), U)
-    order = np.argsort(part, kind="stable")
-    at = np.searchsorted(part[order], np.arange(int(part.max()) + 2))
+    order, at = _order(part, np.arange(len(part)), parts)
     for a in answers:
         own = order[at[a["pid"]] : at[a["pid"] + 1]]
         c[own], ids[own] = _unpack(a["data"], "<i8 <u8")
@@ -260,6 +269,21 @@ def _chain(cols: list[np.ndarray]) -> np.ndarray:
     return h
 
 
+def _distinct(cols: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(a row of each distinct tuple, each row's tuple): by one hash, or by all columns where hashes of different tuples agree."""
+    h = _chain(cols)
+    by = np.argsort(h)
+    h = h[by]
+    new = np.concatenate([[True], h[1:] != h[:-1]])
+    changed = np.logical_or.reduce([c[by][1:] != c[by][:-1] for c in cols])
+    if (changed & ~new[1:]).any():
+        by = np.lexsort(cols[::-1])
+        new = np.concatenate([[True], np.logical_or.reduce([c[by][1:] != c[by][:-1] for c in cols])])
+    at = np.empty(len(by), np.int64)
+    at[by] = np.cumsum(new) - 1
+    return by[new], at
+
+
 class Hot:
     """The contexts of one order that are split, by their ids; those whose hashes agree with an earlier one's stay whole."""
 
@@ -318,7 +342,7 @@ class Batch:
         self.held = np.asarray(batch.column(columns["held"])[i].as_py(), bool)
         ends, counts, part = unpacked("ends").astype(np.int64), unpacked("counts"), unpacked("part")
         self.tokens, self.starts, self.sizes = _by_count(counts)[unpacked("tokens")], np.concatenate([[0], ends[:-1]]).astype(np.int64), np.diff(ends, prepend=0)
-        self.c, ids = _known(part, batch.column(columns["l1"])[i].as_py())
+        self.c, ids = _known(part, batch.column(columns["l1"])[i].as_py(), parts)
         n, first = len(self.tokens), np.zeros(len(self.tokens), bool)
         first[self.starts] = True
         at, low_r, ctx_ids = self.tokens, self.c, [np.append(ids, START)]
@@ -392,24 +416,19 @@ def _count(order: int, uni, below: Discounts | None, hot: Hot, total: int):
             return
         ids, seen, low = cols[:order], cols[order], cols[order + 1 :]
         del cols
-        by = np.lexsort(ids[::-1])
-        changed = [np.concatenate([[True], c[by][1:] != c[by][:-1]]) for c in ids]
-        new_ctx = np.logical_or.reduce(changed[:-1])
-        new = new_ctx | changed[-1]
-        at = np.empty(len(by), np.int64)
-        at[by] = np.cumsum(new) - 1
-        first = by[new]
-        of = (np.cumsum(new_ctx) - 1)[new]
-        n = int(of[-1]) + 1
+        first, at = _distinct(ids)
+        grams = [c[first] for c in ids]
+        lead, of = _distinct(grams[:-1])
+        n = len(lead)
         r = np.bincount(at, seen, len(first)).astype(np.int64)
         lower = uni.p(low[0][first]) if order == 2 else below.mass(low[0][first]) / np.maximum(low[1][first], 1)
         p = np.where(r > 0, lower, 0.0)
         sums = np.stack([*(np.bincount(of, r == i, n) for i in range(1, K + 1)), np.bincount(of, np.where(r > K, r, 0), n), np.bincount(of, p, n)])
-        contexts = [c[by[new_ctx]] for c in ids[:-1]]
+        contexts = [c[lead] for c in grams[:-1]]
         hots = hot.find(contexts, _chain(contexts))
         rows = [*_counts_of(r)]
         rows += [(None, None, 4, int(hots[j]), 0, sums[:, j].tolist()) for j in np.flatnonzero(hots >= 0)]
-        rows += [(None, b"".join(c[first[j] : first[j] + 1].tobytes() for c in ids), 3, 0, int(r[j])) for j in np.flatnonzero(r * HOT > total)]
+        rows += [(None, b"".join(c[j : j + 1].tobytes() for c in grams), 3, 0, int(r[j])) for j in np.flatnonzero(r * HOT > total)]
         yield _answers(rows, pid)
         cuts = np.concatenate([[0], np.cumsum(sizes)])
         plain = (sums[:K].sum(axis=0) == 0) & (hots < 0)
