@@ -317,11 +317,14 @@ class Grams:
     """A batch's distinct n-grams of one order: context, last word and lower n-gram by their numbers in the batch, and ids."""
 
     def __init__(self, at: np.ndarray, ctx: np.ndarray, w: np.ndarray, low: np.ndarray, valid: np.ndarray, ctx_ids: list[np.ndarray], ids: np.ndarray):
-        key, inverse = np.unique(ctx[valid] * np.int64(len(ids)) + w[valid], return_inverse=True)
-        self.ctx, self.w = key // len(ids), key % len(ids)
-        self.at = np.full(len(at), -1, np.int64)  # each token's n-gram
-        self.at[valid] = inverse
-        self.low = np.zeros(len(key), np.int64)
+        key, inverse = np.unique((ctx[valid] << np.int64(32)) | w[valid], return_inverse=True)
+        self.ctx, self.w = key >> np.int64(32), key & np.int64(0xFFFFFFFF)
+        if len(inverse) == len(at):
+            self.at = inverse
+        else:
+            self.at = np.full(len(at), -1, np.int64)  # each token's n-gram
+            self.at[valid] = inverse
+        self.low = np.empty(len(key), np.int64)
         self.low[inverse] = low[valid]
         self.context = [c[self.ctx] for c in ctx_ids]
         self.ids = [*self.context, ids[self.w]]
@@ -330,7 +333,9 @@ class Grams:
         """(order, cuts of partitions, hot contexts' numbers)."""
         h = _chain(self.context)
         i = hot.find(self.context, h)
-        part = np.where(i >= 0, mix(h ^ mix(self.ids[-1])), h) % U(parts)
+        if len(own := np.flatnonzero(i >= 0)):
+            h[own] = mix(h[own] ^ mix(self.ids[-1][own]))
+        part = h % U(parts)
         return *_order(part, self.ids[0], parts), i
 
 
@@ -346,7 +351,7 @@ class Batch:
         n, first = len(self.tokens), np.zeros(len(self.tokens), bool)
         first[self.starts] = True
         at, low_r, ctx_ids = self.tokens, self.c, [np.append(ids, START)]
-        self.logp = [uni.logp(self.c)[self.tokens]] if scores else []
+        self.logp = None
         logp, below = (uni.logp(self.c) if scores else None), None
         self.grams = self.low = None
         for order in range(2, 2 + len(levels) + (hot is not None)):
@@ -363,18 +368,26 @@ class Batch:
             for a in batch.column(columns[f"l{order}"])[i].as_py():
                 own = deal[cuts[a["pid"]] : cuts[a["pid"] + 1]]
                 size = int.from_bytes(a["data"][:8], "little")
-                r[own], plain[own] = _unpack(a["data"][8 : 8 + size], "<i8 u1")
-                if scores:
-                    sums = np.stack(_unpack(a["data"][8 + size :], "<f8 " * (K + 2)))
-                    back[own[(r[own] == 0) & (hots[own] < 0)]] = np.log10(np.maximum(_alpha(sums, level.discounts.d, False)[0], 1e-300))
-            of = np.append(low_r, 0)[g.ctx] if order == 2 else low_r[g.ctx]  # the contexts' counts; the start is hot
-            big_d = np.where(hots >= 0, level.d[hots], of + plain)
+                r[own], plain[own] = got, _ = _unpack(a["data"][8 : 8 + size], "<i8 u1")
+                if scores and len(sums := np.stack(_unpack(a["data"][8 + size :], "<f8 " * (K + 2))).T):
+                    unseen = own[got == 0]
+                    back[unseen[hots[unseen] < 0]] = np.log10(np.maximum(_alpha(sums.T, level.discounts.d, False)[0], 1e-300))
+            split = np.flatnonzero(hots >= 0)
+            big_d = (np.append(low_r, 0) if order == 2 else low_r)[g.ctx] + plain  # the contexts' counts; the start is hot
+            big_d[split] = level.d[hots[split]]
             if scores:
-                seen = r > 0
-                back = np.where(hots >= 0, level.alpha[hots], back) + logp[g.low]
+                back[split] = level.alpha[hots[split]]
+                unseen = np.flatnonzero(r == 0)
+                back[unseen] += logp[g.low[unseen]]
+                seen = np.flatnonzero(r)
+                many = r[seen]
+                back[seen] = np.log10(level.discounts.mass(many) / np.maximum(big_d[seen], 1))
                 logp = back
-                logp[seen] = np.log10(level.discounts.mass(r[seen])) - np.log10(np.maximum(big_d[seen], 1))
-                self.logp.append(np.where(g.at >= 0, logp[g.at], self.logp[-1]))
+                if order == 2:  # each word has a bigram
+                    self.logp = logp[g.at]
+                else:
+                    there = g.at >= 0
+                    self.logp[there] = logp[g.at[there]]
             at, low_r, below, ctx_ids = g.at, r, big_d, g.ids
 
     def asked(self, bid: int) -> pa.RecordBatch:
@@ -421,9 +434,12 @@ def _count(order: int, uni, below: Discounts | None, hot: Hot, total: int):
         lead, of = _distinct(grams[:-1])
         n = len(lead)
         r = np.bincount(at, seen, len(first)).astype(np.int64)
-        lower = uni.p(low[0][first]) if order == 2 else below.mass(low[0][first]) / np.maximum(low[1][first], 1)
-        p = np.where(r > 0, lower, 0.0)
-        sums = np.stack([*(np.bincount(of, r == i, n) for i in range(1, K + 1)), np.bincount(of, np.where(r > K, r, 0), n), np.bincount(of, p, n)])
+        p, there = np.zeros(len(first)), r > 0
+        own = first[there]
+        p[there] = uni.p(low[0][own]) if order == 2 else below.mass(low[0][own]) / np.maximum(low[1][own], 1)
+        small = np.bincount(of * (K + 2) + np.minimum(r, K + 1), minlength=n * (K + 2)).reshape(n, K + 2).T
+        large = r > K
+        sums = np.stack([*small[1 : K + 1].astype(float), np.bincount(of[large], r[large], n), np.bincount(of, p, n)])
         contexts = [c[lead] for c in grams[:-1]]
         hots = hot.find(contexts, _chain(contexts))
         rows = [*_counts_of(r)]
@@ -448,7 +464,7 @@ def _evaluate(columns: list[str], uni, levels: list[Level], parts: int):
     def fn(batches):
         for batch, i, b in each(batches):
             add = lambda x: np.add.reduceat(x, b.starts)
-            cols = [b.held, b.sizes, add((b.c > 0)[b.tokens].astype(np.int64)), add(uni.base(b.c)[b.tokens]), add(b.logp[-1])]
+            cols = [b.held, b.sizes, add((b.c > 0)[b.tokens].astype(np.int64)), add(uni.base(b.c)[b.tokens]), add(b.logp)]
             kinds = [pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(batch.column(columns.index("doc_id"))[i].as_py(), pa.int64()), *(pa.array(x, t) for x, t in zip(cols, kinds, strict=True))], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
@@ -488,6 +504,7 @@ def report(docs: DataFrame, held_out: Column, order: int = ORDER) -> DataFrame:
 
     total, distinct = (x or 0 for x in told.filter("kind = 2").agg(F.sum("a"), F.sum("b")).first())
     uni, levels = Unigrams(counts(told), total, distinct), []
+    _free(spark)
     names = ["bid", "doc_id", "held", "ends", "tokens", "part", "counts"]
     answers = lambda df, name: df.filter("kind = 0").groupBy("bid").agg(F.collect_list(F.struct("pid", "data")).alias(name))
     batches, last = split["tokens"].select(*names), "batches"
@@ -511,6 +528,7 @@ def report(docs: DataFrame, held_out: Column, order: int = ORDER) -> DataFrame:
         for r in part.collect():  # a row per hot context
             sums[:, r.a] = r[1:]
         levels.append(Level(counts(told), hot, sums))
+        _free(spark)  # what the scheduler still held of the exchange before these small jobs
     names = [*names, f"l{order}"]
     joined = batches.join(answers(told, names[-1]).hint("shuffle_hash"), "bid").select(*names)
     out = joined.mapInArrow(_evaluate(names, uni, levels, parts), SCORES)
