@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import functools
 import tempfile
 import uuid
@@ -114,6 +115,20 @@ class Scratch:
             pass
 
 
+def trimmed(fn):
+    """fn over Arrow batches, after which the worker, that later tasks use too, gives freed memory back to the system."""
+
+    def run(batches):
+        try:
+            yield from fn(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:  # glibc keeps it otherwise
+                trim(0)
+
+    return run
+
+
 def binary(col: pa.Array) -> list[bytes]:
     """A text column's rows as UTF-8 bytes; null is empty."""
     return [b or b"" for b in pc.cast(col, pa.large_binary()).to_pylist()]
@@ -141,7 +156,7 @@ def with_columns(df: DataFrame, fields: list[T.StructField], fn) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, *fn(b)], names=names)
 
-    return df.mapInArrow(add, schema)
+    return df.mapInArrow(trimmed(add), schema)
 
 
 def guarded(docs: DataFrame, *needed: str):

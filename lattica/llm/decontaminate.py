@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lattica.llm.common import Scratch, binary, guarded
+from lattica.llm.common import Scratch, binary, guarded, trimmed
 
 WINDOW = 10
 BLOCK_WORDS = 200_000
@@ -187,7 +187,7 @@ def _pass(df: DataFrame, auto: Automaton, first: bool) -> DataFrame:
             rest = batch.columns if first else batch.columns[:-3]
             yield pa.RecordBatch.from_arrays([*rest, *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=schema.names)
 
-    return df.mapInArrow(fn, schema)
+    return df.mapInArrow(trimmed(fn), schema)
 
 
 def with_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -234,7 +234,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
                 out.append(b"".join([*kept, b[last:]]).decode())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=schema.names)
 
-    out = hits.mapInArrow(fn, schema).withColumn("text", F.coalesce("__text", "text"))
+    out = hits.mapInArrow(trimmed(fn), schema).withColumn("text", F.coalesce("__text", "text"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("__text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return named(out.select(docs.columns))

@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lattica.llm.common import bound_batches, trimmed
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"(class|id|role|itemprop|data-y)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _NAME = re.compile(r"[a-z]+")
@@ -449,5 +451,6 @@ def report(pages: DataFrame, sample: int = 200, sample_chars: int = 200_000) ->
                     at += len(x)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
+    bound_batches(pages.sparkSession)
     kind = dict(pages.dtypes)
-    return pages.mapInArrow(fn, f"page_id {kind['page_id']}, url {kind['url']}, text string, n_chars long")
+    return pages.mapInArrow(trimmed(fn), f"page_id {kind['page_id']}, url {kind['url']}, text string, n_chars long")

@@ -44,7 +44,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import Scratch, binary, groups, n_parts, slabs
+from lattica.llm.common import Scratch, binary, groups, n_parts, slabs, trimmed
 from lattica.llm.hashing import U, mix, words
 
 K, HOT, BATCH = 5, 1000, 1 << 23
@@ -486,11 +486,11 @@ def report(docs: DataFrame, held_out: Column, order: int = ORDER) -> DataFrame:
     spark = docs.sparkSession
     scratch, parts = Scratch(spark, "katz"), n_parts(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held"), "text")
-    split = scratch.save_apart(rows.mapInArrow(_split(parts), BATCHES), "what", "batches")
+    split = scratch.save_apart(rows.mapInArrow(trimmed(_split(parts)), BATCHES), "what", "batches")
     if not split:
         return _nothing(spark)
-    asked = split["words"].select("bid", "vocab", "seen").mapInArrow(_ask_words(parts), ASK).repartitionById(parts, "pid")
-    told = scratch.save(asked.mapInArrow(_count_words(parts), ANSWER), "told1")
+    asked = split["words"].select("bid", "vocab", "seen").mapInArrow(trimmed(_ask_words(parts)), ASK).repartitionById(parts, "pid")
+    told = scratch.save(asked.mapInArrow(trimmed(_count_words(parts)), ANSWER), "told1")
     del asked
     scratch.drop("batches/what=words")
     _free(spark)
@@ -519,8 +519,8 @@ def report(docs: DataFrame, held_out: Column, order: int = ORDER) -> DataFrame:
         last = f"known{n}"
         _free(spark)
         need = [c for c in names if c != "doc_id"]
-        asked = batches.select(*need).mapInArrow(_ask(need, uni, levels, hot, parts), ASK).repartitionById(parts, "pid")
-        told = scratch.save(asked.mapInArrow(_count(n, uni, levels[-1].discounts if levels else None, hot, total), ANSWER), f"told{n}")
+        asked = batches.select(*need).mapInArrow(trimmed(_ask(need, uni, levels, hot, parts)), ASK).repartitionById(parts, "pid")
+        told = scratch.save(asked.mapInArrow(trimmed(_count(n, uni, levels[-1].discounts if levels else None, hot, total)), ANSWER), f"told{n}")
         del asked
         _free(spark)
         sums = np.zeros((K + 2, len(hot.h)))
@@ -531,5 +531,5 @@ def report(docs: DataFrame, held_out: Column, order: int = ORDER) -> DataFrame:
         _free(spark)  # what the scheduler still held of the exchange before these small jobs
     names = [*names, f"l{order}"]
     joined = batches.join(answers(told, names[-1]).hint("shuffle_hash"), "bid").select(*names)
-    out = joined.mapInArrow(_evaluate(names, uni, levels, parts), SCORES)
+    out = joined.mapInArrow(trimmed(_evaluate(names, uni, levels, parts)), SCORES)
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lattica.llm.common import guarded, with_columns
+from lattica.llm.common import guarded, trimmed, with_columns
 
 BINS = 1 << 15
 MAX_LANGS = 1024
@@ -112,7 +112,7 @@ def learn(rows: DataFrame) -> Model:
     if len(langs) > MAX_LANGS:
         raise ValueError(f"over {MAX_LANGS} languages")
     counts, place = np.zeros((len(langs), BINS)), {x: i for i, x in enumerate(langs)}
-    for r in rows.mapInArrow(count, "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")).toLocalIterator():
+    for r in rows.mapInArrow(trimmed(count), "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")).toLocalIterator():
         counts[place[r.lang], r.bin] = r.n
     return Model(langs, counts)
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import binary
+from lattica.llm.common import binary, trimmed
 from lattica.llm.decontaminate import words
 
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -126,7 +126,7 @@ def build(docs: DataFrame, notices=NOTICES) -> Index:
         rows = [("", n), *((w.decode(), c) for w, c in df.items() if c)]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())], names=["w", "n"])
 
-    got = {r.w: r.n for r in docs.select("text").mapInArrow(count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")).collect()}
+    got = {r.w: r.n for r in docs.select("text").mapInArrow(trimmed(count), "w string, n long").groupBy("w").agg(F.sum("n").alias("n")).collect()}
     return Index(notices, {w.encode(): c for w, c in got.items()}, got.get("", 0))
 
 
@@ -152,4 +152,4 @@ def report(docs: DataFrame, notices=NOTICES) -> DataFrame:
             kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
-    return docs.mapInArrow(fn, SCHEMA)
+    return docs.mapInArrow(trimmed(fn), SCHEMA)

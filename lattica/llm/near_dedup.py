@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import Scratch, binary, groups, guarded
+from lattica.llm.common import Scratch, binary, groups, guarded, trimmed
 from lattica.llm.hashing import U, mix, words
 
 BANDS, ROWS = 36, 5
@@ -140,9 +140,9 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> Da
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
     texts = docs.join(ids.hint("shuffle_hash"), "doc_id", "left_semi")
     texts = texts.withColumn("th", F.xxhash64("text")).dropDuplicates(["doc_id", "th"])  # repeated rows would multiply every pair
-    sets = texts.select("doc_id", "text").mapInArrow(_sets(size), "doc_id long, s binary")
+    sets = texts.select("doc_id", "text").mapInArrow(trimmed(_sets(size)), "doc_id long, s binary")
     left, right = (sets.select(F.col("doc_id").alias(c), F.col("s").alias(f"s{c}")) for c in "ab")
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "sa", "sb").mapInArrow(_similar(percent), "a long, b long")
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "sa", "sb").mapInArrow(trimmed(_similar(percent)), "a long, b long")
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -170,7 +170,7 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFr
     """Per row of docs (doc_id, text): doc_id, n_shingles, component_id, kept, class_id."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     scratch = Scratch(docs.sparkSession, "near")
-    every = scratch.save(docs.mapInArrow(_signatures(size), "doc_id long, n long, h1 long, h2 long, bands array<long>, bits array<long>"), "signatures")
+    every = scratch.save(docs.mapInArrow(trimmed(_signatures(size)), "doc_id long, n long, h1 long, h2 long, bands array<long>, bits array<long>"), "signatures")
     sets = every.filter("n > 0 and doc_id is not null")
     classes = scratch.save(sets.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("class")), "classes")
     firsts = sets.join(classes, [sets.n == classes.n, sets.h1 == classes.h1, sets.h2 == classes.h2, sets.doc_id == classes["class"]]).select("doc_id", sets.n.alias("n"), sets.h1.alias("h1"), "bands", "bits")

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lattica.llm.common import Scratch, binary, groups, guarded, n_parts, slabs, with_columns
+from lattica.llm.common import Scratch, binary, groups, guarded, n_parts, slabs, trimmed, with_columns
 from lattica.llm.hashing import U, mix, powers, prefix, substr
 
 LOW = U((1 << 20) - 1)
@@ -301,12 +301,12 @@ def repeated_runs(docs: DataFrame, scratch: Scratch, min_bytes: int = 100, seed:
     """(k, th, runs): per document with repeats, packed ranges of repeated windows' starts."""
     spark, parts = docs.sparkSession, n_parts(docs.sparkSession)
     keyed = _keyed(docs)
-    sent = keyed.mapInArrow(_round1_map(parts, seed, min_bytes), f"pid int, data binary, {MARK}")
-    one = scratch.save(sent.repartitionById(parts, "pid").mapInArrow(_round1_reduce, MARK), "round1")
+    sent = keyed.mapInArrow(trimmed(_round1_map(parts, seed, min_bytes)), f"pid int, data binary, {MARK}")
+    one = scratch.save(sent.repartitionById(parts, "pid").mapInArrow(trimmed(_round1_reduce), MARK), "round1")
     spark._jvm.System.gc()  # lets Spark delete the shuffle files of a round that is written
     opened = one.filter("open is not null").groupBy("k", "th").agg(F.collect_list("open").alias("open"))
-    again = keyed.join(opened.hint("shuffle_hash"), ["k", "th"]).select("k", "th", "text", "open").mapInArrow(_round2_map(parts, seed, min_bytes), "pid int, data binary")
-    two = scratch.save(again.repartitionById(parts, "pid").mapInArrow(_round2_reduce, MARK), "round2")
+    again = keyed.join(opened.hint("shuffle_hash"), ["k", "th"]).select("k", "th", "text", "open").mapInArrow(trimmed(_round2_map(parts, seed, min_bytes)), "pid int, data binary")
+    two = scratch.save(again.repartitionById(parts, "pid").mapInArrow(trimmed(_round2_reduce), MARK), "round2")
     both = one.filter("runs is not null").select("k", "th", "runs").unionByName(two.select("k", "th", "runs"))
     spark._jvm.System.gc()
     return both.groupBy("k", "th").agg(F.collect_list("runs").alias("runs"))

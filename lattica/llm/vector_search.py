@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattica.llm.common import Scratch
+from lattica.llm.common import Scratch, trimmed
 
 CELLS = 256
 SCALE = 1024.0
@@ -116,7 +116,7 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 10, block: int | N
             z = _matrix(b.column(1), d)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in quant.cells(z)], pa.binary()), pa.array([r.tobytes() for r in z], pa.binary())], names=["vec_id", "cells", "z"])
 
-    file = scratch.save(exact.mapInArrow(approximate, "vec_id long, cells binary, z binary"), "va")
+    file = scratch.save(exact.mapInArrow(trimmed(approximate), "vec_id long, cells binary, z binary"), "va")
     w = Window.partitionBy("query_row", "query_id").orderBy(F.desc("score"), "vec_id")
     merged = lambda df: df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
     block, rows, parts = block or max(1, block_bytes // (8 * max(1, d))), [], []
@@ -162,7 +162,7 @@ def _search(file: DataFrame, rows: list, quant: Quantiser, k: int) -> DataFrame:
             row = np.repeat(np.arange(len(ids)), lens)
             yield pa.RecordBatch.from_arrays([pa.array(row + first), pa.array(ids[row]), pa.array(np.concatenate([x[0] for x in best])), pa.array(np.concatenate([x[1] for x in best]))], names=["query_row", "query_id", "vec_id", "score"])
 
-    return file.select("vec_id", "cells", "z").mapInArrow(fn, "query_row long, query_id long, vec_id long, score long")
+    return file.select("vec_id", "cells", "z").mapInArrow(trimmed(fn), "query_row long, query_id long, vec_id long, score long")
 
 
 ORACLE = """
