@@ -58,8 +58,32 @@ NOTICES = [
     ("cc-by-nc-4.0", "licensed under CC BY NC 4 0", ["cc by nc 4 0"]),
     ("cc-by-nd-4.0", "licensed under CC BY ND 4 0", ["cc by nd 4 0"]),
     ("cc-by-4.0", "licensed under a Creative Commons attribution 4 0 international license", ["creative commons attribution 4 0"]),
+    # clauses that tell the licence when its whole text stands in a file, each a notice of its own, as names filled in between them move what follows
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", ["copies or substantial portions of the software"]),
+    ("mit", "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software", ["deal in the software without restriction"]),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", ["redistributions of source code must retain"]),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution", ["redistributions in binary form must reproduce"]),
+    ("bsd-3-clause", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", ["used to endorse or promote products derived from this software"]),
+    ("isc", "provided that the above copyright notice and this permission notice appear in all copies", ["permission notice appear in all copies"]),
+    ("zlib", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions", ["alter it and redistribute it freely"]),
+    ("zlib", "the origin of this software must not be misrepresented you must not claim that you wrote the original software", ["must not claim that you wrote the original software"]),
+    ("bsl-1.0", "distributed under the Boost software license version 1 0", ["boost software license"]),
+    ("bsl-1.0", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", ["any person or organization obtaining a copy"]),
+    ("apache-2.0", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0", ["apache org licenses license 2 0"]),
+    ("apache-2.0", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied", ["without warranties or conditions of any kind"]),
+    ("gpl-3.0", "you can redistribute it and or modify it under the terms of the GNU general public license as published by the free software foundation either version 3 of the license or at your option any later version", ["either version 3 of the license"]),
+    ("gpl-2.0", "you can redistribute it and or modify it under the terms of the GNU general public license as published by the free software foundation either version 2 of the license or at your option any later version", ["either version 2 of the license"]),
+    ("lgpl", "you can redistribute it and or modify it under the terms of the GNU lesser general public license as published by the free software foundation", ["lesser general public license as published"]),
+    ("agpl-3.0", "you can redistribute it and or modify it under the terms of the GNU affero general public license as published by the free software foundation", ["affero general public license as published"]),
+    ("mpl-2.0", "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0", ["copy of the mpl was not distributed with this file"]),
+    ("epl-2.0", "which is available at https www eclipse org legal epl 2 0", ["eclipse org legal epl 2 0"]),
+    ("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means", ["source code form or as a compiled binary"]),
+    ("cc0-1.0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", ["copyright and related or neighboring rights to this"]),
 ]
 
+#: Templates of a caller's own table, bounded because they are sent to every worker.
+MAX_TEMPLATES, MAX_TEMPLATE_BYTES = 20_000, 64 << 20
+
 
 class Index:
     def __init__(self, notices, df: dict[bytes, int], n_docs: int):
@@ -80,13 +104,16 @@ class Index:
 
     def scan(self, ws: list[bytes]) -> dict[str, float]:
         """Labels of the notices found, with their cover."""
-        places: dict[bytes, list[int]] = {}
-        vocab = self.idf
+        present = self.idf.keys() & set(ws)
+        asked = [t for t, needed in enumerate(self.needed) if any(k <= present for k in needed)]
+        if not asked:
+            return {}
+        places: dict[bytes, list[int]] = {w: [] for t in asked for w, _ in self.rare[t]}
         for i, w in enumerate(ws):
-            if w in vocab:
-                places.setdefault(w, []).append(i)
+            if w in places:
+                places[w].append(i)
         found: dict[str, float] = {}
-        voted = {(t, p - q) for t, rare in enumerate(self.rare) if any(k <= places.keys() for k in self.needed[t]) for w, q in rare for p in places.get(w, ())}
+        voted = {(t, p - q) for t in asked for w, q in self.rare[t] for p in places[w]}
         for t, at in voted:
             label, notice, keys = self.notices[t]
             n = len(ws)
@@ -130,6 +157,21 @@ def build(docs: DataFrame, notices=NOTICES) -> Index:
     return Index(notices, {w.encode(): c for w, c in got.items()}, got.get("", 0))
 
 
+def notices_of(templates: DataFrame) -> list[tuple[str, str, list[str]]]:
+    """NOTICES from a table (label, text, keys array<string>) of templates.
+
+    Rows with a null label or text, or a text without words, are left out; null or
+    wordless keys stand for the whole text as its own key phrase. Over
+    MAX_TEMPLATES rows or MAX_TEMPLATE_BYTES of text is an error: nothing is dropped.
+    """
+    rows = templates.select("label", "text", "keys").filter("label is not null and text is not null").distinct()
+    size = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()
+    if size.n > MAX_TEMPLATES or size.b > MAX_TEMPLATE_BYTES:
+        raise ValueError(f"{size.n} templates of {size.b} bytes; at most {MAX_TEMPLATES} of {MAX_TEMPLATE_BYTES} bytes can be sent to every worker")
+    worded = lambda keys: [k for k in keys or () if k and words(k.encode())]
+    return sorted((r.label, r.text, worded(r["keys"]) or [r.text]) for r in rows.collect() if words(r.text.encode()))
+
+
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
 
 

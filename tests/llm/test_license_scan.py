@@ -56,3 +56,36 @@ def test_scan_is_exhaustive():
                 if cover >= scan.COVER and any(k in near for k in keys):
                     want[label] = max(want.get(label, 0), cover)
         assert index.scan(ws) == want
+
+
+MIT = """Copyright (c) 2020 Some Body
+
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+documentation files (the "Software"), to deal in the Software without restriction, including without limitation the
+rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software."""
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that:
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote
+   products derived from this software without specific prior written permission."""
+ZLIB = """Permission is granted to anyone to use this software for any purpose, including commercial applications, and to
+alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be
+misrepresented; you must not claim that you wrote the original software."""
+GPL = """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public
+License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."""
+MPL = "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
+
+
+def test_clauses_of_whole_licences(spark):
+    plain = "the software that anyone may copy, modify and sell; the rights of the author and of any person are granted in the license"
+    rows = [(1, MIT), (2, BSD), (3, ZLIB), (4, GPL), (5, MPL), (6, MIT + GPL), (7, plain)]
+    got = {x.doc_id: x.labels for x in scan.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "mit", 2: "bsd,bsd-3-clause", 3: "zlib", 4: "gpl,gpl-2.0", 5: "mpl-2.0", 6: "gpl,gpl-2.0,mit", 7: ""}
+
+
+def test_notices_of_a_table(spark):
+    rows = [("own", "use it as the owner of the brook allows", ["owner of the brook"]), ("own", "use it as the owner of the brook allows", ["owner of the brook"]), ("whole", "Take what the meadow gives", None), ("whole", "Leave what the meadow keeps", ["..."]), (None, "x", None), ("y", None, None), ("z", "...", ["..."])]
+    table = spark.createDataFrame(rows, "label string, text string, keys array<string>")
+    notices = scan.notices_of(table)
+    assert [x[0] for x in notices] == ["own", "whole", "whole"]
+    docs = spark.createDataFrame([(1, "so: use it, as the owner of the brook allows!"), (2, "take what the meadow gives"), (3, "the owner of the meadow")], "doc_id long, text string")
+    assert {x.doc_id: x.labels for x in scan.report(docs, notices).collect()} == {1: "own", 2: "whole", 3: ""}
+    assert scan.notices_of(table.limit(0)) == []
