@@ -42,7 +42,7 @@ from lattica.llm.hashing import U, mix, powers, prefix, substr
 
 LOW = U((1 << 20) - 1)
 PIECE = 1 << 18  # windows handled at once, under 2^20
-SLAB = 1 << 24  # bytes of text whose repeats are found before anything is sent
+SLAB = 1 << 23  # bytes of text whose repeats are found before anything is sent
 MARK = "k long, th long, runs binary, open binary"
 
 
@@ -169,12 +169,14 @@ def _round1_map(parts: int, seed: int, length: int):
                 continue
             row, a, first, count, h, u = (np.concatenate(c) for c in zip(*got, strict=True))
             k, th = ks[row], ths[row]
+            del texts, got, row  # only names go on
             order, new, later = _earliest(h, u, k, th, a)
             send = order[new]
             k2, h2, a2, f2 = k[send], h[send], a[send], first[send]
             by_place = np.lexsort((a2, k2))
             cols = [c[by_place] for c in (h2, u[send], k2, th[send].astype("<u4"), a2.astype("<u4"), (a2 - f2).astype("<u2"), count[send].astype("<u2"))]
             blocks = list(_blocks((cols[0] % U(parts)).astype(np.int64), cols))
+            del cols, h, u, k2, h2, a2, f2, send, by_place, new
             n = len(blocks)
             none = pa.nulls(n, pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in blocks], pa.int32()), pa.array([d for _, d in blocks], pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), none, none], names=names)
