@@ -45,3 +45,10 @@ def test_triangles_by_blocks(spark, monkeypatch):
     assert graph.triangle_total(matrix(sorted(low), 1 << 20)).collect() == [(want,)]
     assert graph.triangle_total(matrix([(3, 1)], 8)).collect() == [(0,)]
     assert graph.triangle_total(Matrix("INT64", 8, 8)).collect() == [(0,)]
+
+
+def test_outer_of_one_file_takes_many_tasks(spark):
+    v = Vector.of(spark.range(50).coalesce(1).selectExpr("id AS i", "id * 3 AS v"), "INT64", (50,))
+    got = v.outer(v, "minus").new().df
+    assert got.rdd.getNumPartitions() > 1
+    assert {(r.i, r.j): r.v for r in got.collect()} == {(i, j): 3 * (i - j) for i in range(50) for j in range(50)}
