@@ -52,3 +52,10 @@ def test_outer_of_one_file_takes_many_tasks(spark):
     got = v.outer(v, "minus").new().df
     assert got.rdd.getNumPartitions() > 1
     assert {(r.i, r.j): r.v for r in got.collect()} == {(i, j): 3 * (i - j) for i in range(50) for j in range(50)}
+
+
+def test_overlaps(spark, small):
+    r = random.Random(3)
+    cells = sorted({(r.randrange(40), r.randrange(60)) for _ in range(200)})
+    got = graph.overlaps(matrix(cells, 64)).to_dict()
+    assert got == {i: len({k for k, c in cells if (i, c) in cells}) for i in {i for i, _ in cells}}
