@@ -59,3 +59,14 @@ def test_overlaps(spark, small):
     cells = sorted({(r.randrange(40), r.randrange(60)) for _ in range(200)})
     got = graph.overlaps(matrix(cells, 64)).to_dict()
     assert got == {i: len({k for k, c in cells if (i, c) in cells}) for i in {i for i, _ in cells}}
+
+
+def test_components(spark, uncached):
+    pairs = sorted(edges(90, 60, 4)) + [(200 + k, 201 + k) for k in range(40)] + [(300, 300)]
+    label = {x: x for e in pairs for x in e}
+    for _ in label:
+        for i, j in pairs:
+            label[i] = label[j] = min(label[i], label[j])
+    a = matrix(pairs, 320)
+    assert graph.connected_components(a, isolated=False).to_dict() == label
+    assert graph.connected_components(a).to_dict() == {i: label.get(i, i) for i in range(320)}
