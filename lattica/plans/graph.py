@@ -64,23 +64,25 @@ def sssp(a: Matrix, source: int) -> Vector:
 
 
 def pagerank(a: Matrix, damping: float = 0.85, iterations: int | None = None, tol: float = 1e-6, max_iterations: int = 100) -> Vector:
-    """Ranks that sum to 1; vertices without out-links give to all."""
+    """Ranks that sum to 1; vertices without out-links give to all.
+
+    Each vertex's out-links are written once as a list, which a round joins with the ranks.
+    """
     n = a.nrows
-    links = Matrix.of(a.df.select("i", "j", F.lit(1.0).alias("v")), FP64, a.shape).persist()
-    degree = links.reduce_rowwise("plus").new().checkpoint()
-    linked = degree.nvals == n  # then no round has to look for sinks
+    j = F.col("j").cast("int") if a.ncols < 1 << 31 else F.col("j")
+    links = stored(spread(a.df.select("i", j.alias("j")), pieces(a.df), "i").groupBy("i").agg(F.collect_list("j").alias("to")))
+    parts, linked = pieces(links), links.count() == n  # then no round has to look for sinks
     r = Vector.from_scalar(1.0 / n, n)
     for _ in range(iterations or max_iterations):
         old = r
-        share = r.ewise_mult(degree, "truediv").new()
-        sinks = 0.0 if linked else old.df.join(degree.df, "i", "left_anti").agg(F.sum("v")).first()[0] or 0.0
+        share = old.df.join(spread(links, parts, "i"), "i").select((F.col("v") / F.size("to")).alias("x"), F.explode("to").alias("i"))
+        sinks = 0.0 if linked else old.df.join(links, "i", "left_anti").agg(F.sum("v")).first()[0] or 0.0
         base = (1 - damping) / n + damping * sinks / n
-        got = share.vxm(links, "plus_first").new()
-        df = old.df.select("i").join(got.df, "i", "left").select("i", (F.lit(base) + damping * F.coalesce("v", F.lit(0.0))).alias("v"))
+        got = share.groupBy("i").agg(F.sum("x").alias("v")).select(F.col("i").cast("long").alias("i"), "v")
+        df = old.df.select("i").join(got, "i", "left").select("i", (F.lit(base) + damping * F.coalesce("v", F.lit(0.0))).alias("v"))
         r = Vector.of(df, FP64, (n,)).checkpoint()
         if iterations is None and (r.df.withColumnRenamed("v", "w").join(old.df, "i").agg(F.sum(F.abs(F.col("w") - F.col("v")))).first()[0] or 0) < tol * n:
             break
-    links.df.unpersist()
     return r
 
 

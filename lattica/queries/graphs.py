@@ -34,6 +34,10 @@ def together(spark, d) -> Matrix:
     return Matrix.from_df(pairs, "p", "r", F.lit(1).cast("long"), dtype=INT64, shape=(PARTS, PARTS), dup_op="plus").checkpoint()
 
 
+def mirrored(half: Matrix) -> Matrix:
+    return Matrix.of(half.df.union(half.df.select(F.col("j").alias("i"), F.col("i").alias("j"), "v")), INT64, half.shape)
+
+
 TOGETHER = "hv AS (SELECT CAST(a.l_partkey AS BIGINT) AS i, CAST(b.l_partkey AS BIGINT) AS j, count(*) AS v FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey <> b.l_partkey GROUP BY 1, 2)"
 #: Rounds that the SQL's loops may take: no shortest path of the test tables has as many edges.
 DEEP = 12
@@ -79,12 +83,13 @@ q("triangle_count", triangle_count, f"WITH {TOGETHER}, e AS (SELECT i AS a, j AS
 
 
 def ranked_parts(spark, d) -> Matrix:
-    """The graph with its vertices numbered densely, as ranks are shares over all vertices."""
-    g = together(spark, d)
-    ids = io.dictionary(g.df, "i").withColumnRenamed("i", "old")
-    df = g.df.join(ids.withColumnRenamed("id", "a"), g.df.i == F.col("old")).select("a", "j", "v").join(ids.withColumnRenamed("id", "b"), F.col("j") == F.col("old"))
+    """The graph with its vertices numbered densely, as ranks are shares over all vertices; lines are numbered before they are paired."""
+    lines = parts_of_orders(spark, d)
+    lines = lines.join(lines.groupBy("l_orderkey").agg(F.min("p").alias("least"), F.max("p").alias("most")).where("least < most"), "l_orderkey").select("l_orderkey", "p")
+    ids = io.dictionary(lines.withColumnRenamed("p", "old"), "old")
+    a = mirrored(lower(lines.join(ids, F.col("p") == F.col("old")).select("l_orderkey", F.col("id").alias("p"))))
     n = ids.count()
-    return Matrix.of(df.select(F.col("a").alias("i"), F.col("b").alias("j"), "v"), INT64, (n, n)).checkpoint()
+    return Matrix.of(a.df, INT64, (n, n))
 
 
 def pagerank(spark, d):

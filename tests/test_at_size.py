@@ -70,3 +70,12 @@ def test_components(spark, uncached):
     a = matrix(pairs, 320)
     assert graph.connected_components(a, isolated=False).to_dict() == label
     assert graph.connected_components(a).to_dict() == {i: label.get(i, i) for i in range(320)}
+
+
+def test_pagerank_with_sinks(spark, uncached):
+    pairs, n = [(0, 1), (0, 2), (1, 2), (3, 0)], 4
+    r = [1 / n] * n
+    for _ in range(3):
+        sinks = sum(r[i] for i in range(n) if i not in {a for a, _ in pairs})
+        r = [0.15 / n + 0.85 * (sinks / n + sum(r[a] / sum(x == a for x, _ in pairs) for a, b in pairs if b == j)) for j in range(n)]
+    assert graph.pagerank(matrix(pairs, n), iterations=3).to_dict() == pytest.approx(dict(enumerate(r)))
