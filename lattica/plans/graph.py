@@ -35,13 +35,12 @@ def bfs_parents(a: Matrix, source: int) -> Vector:
     """The smallest parent on the level before; the source is its own."""
     parent = Vector.from_coo([source], [source], INT64, size=a.nrows)
     front = parent.dup()
-    one = Matrix.of(a.df.select("i", "j", F.lit(1).cast("long").alias("v")), INT64, a.shape).persist()
+    one = Matrix.of(a.df.select("i", "j", F.lit(1).cast("long").alias("v")), INT64, a.shape)
     while True:
         front << front.apply("positioni")
         front(~parent.S, replace=True) << front.vxm(one, "min_first")
         front.checkpoint()
         if not front.df.head(1):
-            one.df.unpersist()
             return parent
         parent(front.S) << front
         parent.checkpoint()

@@ -79,3 +79,10 @@ def test_pagerank_with_sinks(spark, uncached):
         sinks = sum(r[i] for i in range(n) if i not in {a for a, _ in pairs})
         r = [0.15 / n + 0.85 * (sinks / n + sum(r[a] / sum(x == a for x, _ in pairs) for a, b in pairs if b == j)) for j in range(n)]
     assert graph.pagerank(matrix(pairs, n), iterations=3).to_dict() == pytest.approx(dict(enumerate(r)))
+
+
+@pytest.mark.parametrize("name", ["bfs_parents"])
+def test_searches_keep_nothing_in_memory(spark, uncached, name):
+    a = matrix([(0, 1), (1, 2), (0, 3), (3, 2), (2, 4)], 6)
+    want = {"bfs_levels": {0: 1, 1: 2, 3: 2, 2: 3, 4: 4}, "bfs_parents": {0: 0, 1: 0, 3: 0, 2: 1, 4: 2}, "sssp": {0: 0.0, 1: 1.0, 3: 1.0, 2: 2.0, 4: 3.0}}
+    assert getattr(graph, name)(a, 0).to_dict() == want[name]
