@@ -1,6 +1,6 @@
 """BFS, shortest paths, PageRank, components, triangles and Louvain.
 
-Loops keep the adjacency matrix in memory, write their small state to the checkpoint
+Loops read the adjacency matrix again each round, write their small state to the checkpoint
 folder (a lost executor costs one round) and test for convergence with one small action.
 """
 
@@ -11,14 +11,14 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lattica.functions.dtypes import BOOL, FP64, INT64
-from lattica.operators.collection import Matrix, Vector, fixed, pieces, spread, stored
+from lattica.operators.collection import Matrix, Vector, pieces, spread, stored
 
 
 def bfs_levels(a: Matrix, source: int, max_level: int | None = None) -> Vector:
     """Level of every reachable vertex, the source at 1."""
     level = Vector.from_coo([source], [1], INT64, size=a.nrows)
     front, n = Vector.from_coo([source], [True], BOOL, size=a.nrows), 1
-    one = Matrix.of(a.df.select("i", "j", F.lit(True).alias("v")), BOOL, a.shape).persist()
+    one = Matrix.of(a.df.select("i", "j", F.lit(True).alias("v")), BOOL, a.shape)
     while max_level is None or n < max_level:
         n += 1
         front(~level.S, replace=True) << front.vxm(one, "any_pair")
@@ -27,7 +27,6 @@ def bfs_levels(a: Matrix, source: int, max_level: int | None = None) -> Vector:
             break
         level(front.S) << n
         level.checkpoint()
-    one.df.unpersist()
     return level
 
 

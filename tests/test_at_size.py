@@ -81,7 +81,7 @@ def test_pagerank_with_sinks(spark, uncached):
     assert graph.pagerank(matrix(pairs, n), iterations=3).to_dict() == pytest.approx(dict(enumerate(r)))
 
 
-@pytest.mark.parametrize("name", ["bfs_parents", "sssp"])
+@pytest.mark.parametrize("name", ["bfs_parents", "sssp", "bfs_levels"])
 def test_searches_keep_nothing_in_memory(spark, uncached, name):
     a = matrix([(0, 1), (1, 2), (0, 3), (3, 2), (2, 4)], 6)
     want = {"bfs_levels": {0: 1, 1: 2, 3: 2, 2: 3, 4: 4}, "bfs_parents": {0: 0, 1: 0, 3: 0, 2: 1, 4: 2}, "sssp": {0: 0.0, 1: 1.0, 3: 1.0, 2: 2.0, 4: 3.0}}
