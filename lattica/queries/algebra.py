@@ -30,7 +30,7 @@ def sp(spark, d, flag=None, dup="plus") -> Matrix:
     """Supplier by part, quantities."""
     df = read(spark, d, "lineitem")
     df = df if flag is None else df.where(F.col("l_returnflag") == flag)
-    return Matrix.from_df(df, "l_suppkey", "l_partkey", F.col("l_quantity").cast("long"), dtype=INT64, shape=SHAPE, dup_op=dup)
+    return Matrix.from_df(df, "l_suppkey", "l_partkey", F.col("l_quantity").cast("long"), dtype=INT64, shape=SHAPE, dup_op=dup, sparse=True)
 
 
 def nn(spark, d) -> Matrix:

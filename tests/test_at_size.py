@@ -86,3 +86,13 @@ def test_searches_keep_nothing_in_memory(spark, uncached, name):
     a = matrix([(0, 1), (1, 2), (0, 3), (3, 2), (2, 4)], 6)
     want = {"bfs_levels": {0: 1, 1: 2, 3: 2, 2: 3, 4: 4}, "bfs_parents": {0: 0, 1: 0, 3: 0, 2: 1, 4: 2}, "sssp": {0: 0.0, 1: 1.0, 3: 1.0, 2: 2.0, 4: 3.0}}
     assert getattr(graph, name)(a, 0).to_dict() == want[name]
+
+
+@pytest.mark.parametrize("name", ["udt_pair", "cosupply"])
+def test_partitions_follow_the_input(spark, monkeypatch, name):
+    plain = sorted(map(tuple, entry.queries()[name](spark, SF).collect()))
+    monkeypatch.setattr(collection, "PIECE", 8 << 10)
+    monkeypatch.setattr(collection, "FEW", 0)
+    df = entry.queries()[name](spark, SF)
+    assert "REPARTITION_BY_NUM" in df._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, df.collect())) == plain
