@@ -88,7 +88,7 @@ def test_searches_keep_nothing_in_memory(spark, uncached, name):
     assert getattr(graph, name)(a, 0).to_dict() == want[name]
 
 
-@pytest.mark.parametrize("name", ["udt_pair", "cosupply"])
+@pytest.mark.parametrize("name", ["mxm_band_band", "mxm_lor_eq", "mxm_max_plus", "udt_pair", "cosupply"])
 def test_partitions_follow_the_input(spark, monkeypatch, name):
     plain = sorted(map(tuple, entry.queries()[name](spark, SF).collect()))
     monkeypatch.setattr(collection, "PIECE", 8 << 10)
