@@ -1090,8 +1090,10 @@ class Matrix(_Grid):
         """Join on the inner index, then one aggregation.
 
         It has map-side parts where the shape bounds them; else the products are exchanged
-        first, as a table of parts that hardly repeat would fill a task's memory. A mask reaches below the aggregation, and a plain one below the join: rows
-        of A and columns of B that it does not have are dropped first.
+        first, as a table of parts that hardly repeat would fill a task's memory. The join then has as
+        many partitions as that exchange: a task holds the products that it writes to over DIRECT of them.
+        A mask reaches below the aggregation, and a plain one below the join: rows of A and columns of B
+        that it does not have are dropped first.
         """
         other = other.new() if isinstance(other, Transposed | Expr | Infix) else other
         if self.ncols != other.nrows:
@@ -1106,7 +1108,8 @@ class Matrix(_Grid):
                 x = x.join(m.coords().select("i").distinct(), "i", "left_semi")
                 y = y.join(m.coords().select("j").distinct(), "j", "left_semi")
             n = pieces(a.df, b.df) if keep is None and a.nrows * b.ncols > SMALL_SHAPE else 0
-            return _multiply(x.join(y, "k"), keep, s, a.dtype, b.dtype, ["i", "j"], {"ix": F.col("i"), "jx": F.col("k"), "iy": F.col("k"), "jy": F.col("j")}, n)
+            met = spread(x, n, "k").join(spread(y, n, "k"), "k")
+            return _multiply(met, keep, s, a.dtype, b.dtype, ["i", "j"], {"ix": F.col("i"), "jx": F.col("k"), "iy": F.col("k"), "jy": F.col("j")}, n)
 
         return Expr(Matrix, s.out(a.dtype, b.dtype), (a.nrows, b.ncols), make, f"mxm {s.name}")
 
