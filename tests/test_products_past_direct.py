@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 from lattica.operators import collection
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["mxm_bxor_band", "mxm_land_gt", "mxm_lor_eq"]
+NAMES = ["mxm_bxor_band", "mxm_land_gt", "mxm_lor_eq", "mxm_lxor_eq"]
 
 
 @pytest.mark.parametrize("name", NAMES)
