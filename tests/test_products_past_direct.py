@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 from lattica.operators import collection
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["mxm_bxor_band", "mxm_land_gt", "mxm_lor_eq", "mxm_lxor_eq", "mxm_max_min", "mxm_max_plus", "mxm_min_max", "mxm_min_plus", "mxm_plus_iseq"]
+NAMES = ["mxm_bxor_band", "mxm_land_gt", "mxm_lor_eq", "mxm_lxor_eq", "mxm_max_min", "mxm_max_plus", "mxm_min_max", "mxm_min_plus", "mxm_plus_iseq", "mxm_plus_isgt"]
 
 
 @pytest.mark.parametrize("name", NAMES)
