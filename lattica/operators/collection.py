@@ -32,6 +32,9 @@ MAX_DENSE = 1 << 32
 PIECE, FEW, DIRECT = 4 << 20, 24, 200
 #: Results of at most this many cells are folded before the exchange: their parts are small whatever the input.
 SMALL_SHAPE = 1 << 22
+#: An inner index of more than SIDE * SIDE products is a hub: they are made in cells of about SIDE rows by SIDE columns.
+#: Counting reads the factors again, so plans of over LEAVES inputs (products of products) are left uncounted.
+SIDE, LEAVES = 1 << 11, 32
 
 
 def session() -> SparkSession:
@@ -97,6 +100,37 @@ def spread(df: DataFrame, n: int, *keys: str) -> DataFrame:
     return df.repartition(n, *keys) if n else df
 
 
+def hubs(x: DataFrame, y: DataFrame, n: int) -> DataFrame:
+    """Inner indices of too many products for one task, and the number of parts that their rows and columns go in.
+
+    Whole entries are counted, by exchanges that differ in no column from those of the product: they are made once. A broadcast
+    of it is small: it has at most a row for each SIDE * SIDE products.
+    """
+    p = spread(x.select("i", F.col("k").alias("hub"), "x"), n, "hub").groupBy("hub").agg(F.expr("count(i, x)").alias("p"))
+    q = spread(y.select(F.col("k").alias("hub"), "j", "y"), n, "hub").groupBy("hub").agg(F.expr("count(j, y)").alias("q"))
+    many = p.join(q, "hub").where(F.col("p").cast("double") * F.col("q") > SIDE * SIDE)
+    return F.broadcast(many.select(F.col("hub").alias("k"), F.ceil(F.col("p") / SIDE).alias("p"), F.ceil(F.col("q") / SIDE).alias("q")))
+
+
+def met(x: DataFrame, y: DataFrame, n: int) -> DataFrame:
+    """Entries of x (i, k, x) and y (k, j, y) that meet in k, in n partitions; those of hubs meet in cells, by hash of i and j.
+
+    Without hubs adaptive execution drops the cells once they are counted. The outer join stands for an anti join, which
+    would be pushed below the exchanges of x.
+    """
+    out = ["i", "j", "k", "x", "y"]
+    if not n or sum(df._jdf.queryExecution().optimizedPlan().collectLeaves().size() for df in (x, y)) > LEAVES:
+        return spread(x, n, "k").join(spread(y, n, "k"), "k").select(*out)
+    hub = hubs(x, y, n)
+    few = spread(x, n, "k").join(hub, "k", "left").where(F.col("p").isNull() & F.col("q").isNull())  # both: one broadcast for all
+    row, column = F.pmod(F.xxhash64("i"), F.col("p")), F.pmod(F.xxhash64("j"), F.col("q"))
+    each = lambda parts: F.explode(F.sequence(F.lit(0).cast("long"), F.col(parts) - 1))
+    across = x.join(hub, "k").select("i", "k", "x", "q", row.alias("r"), each("q").alias("c")).select("i", "k", "x", (F.col("r") * F.col("q") + F.col("c")).alias("cell"))
+    down = y.join(hub, "k").select("k", "j", "y", "q", column.alias("c"), each("p").alias("r")).select("k", "j", "y", (F.col("r") * F.col("q") + F.col("c")).alias("cell"))
+    many = spread(across, n, "k", "cell").join(spread(down, n, "k", "cell"), ["k", "cell"])
+    return few.join(spread(y, n, "k"), "k").select(*out).unionAll(many.select(*out))
+
+
 def folded(df: DataFrame, keys: list[str], by, t, at: Column | None = None) -> DataFrame:
     """One aggregation of v (of type t) per key by a monoid or an aggregator, with map-side parts.
 
@@ -1091,7 +1125,8 @@ class Matrix(_Grid):
 
         It has map-side parts where the shape bounds them; else the products are exchanged
         first, as a table of parts that hardly repeat would fill a task's memory. The join then has as
-        many partitions as that exchange: a task holds the products that it writes to over DIRECT of them.
+        many partitions as that exchange: a task holds the products that it writes to over DIRECT of them. Hubs
+        are counted out and met in cells.
         A mask reaches below the aggregation, and a plain one below the join: rows of A and columns of B
         that it does not have are dropped first.
         """
@@ -1108,8 +1143,7 @@ class Matrix(_Grid):
                 x = x.join(m.coords().select("i").distinct(), "i", "left_semi")
                 y = y.join(m.coords().select("j").distinct(), "j", "left_semi")
             n = pieces(a.df, b.df) if keep is None and a.nrows * b.ncols > SMALL_SHAPE else 0
-            met = spread(x, n, "k").join(spread(y, n, "k"), "k")
-            return _multiply(met, keep, s, a.dtype, b.dtype, ["i", "j"], {"ix": F.col("i"), "jx": F.col("k"), "iy": F.col("k"), "jy": F.col("j")}, n)
+            return _multiply(met(x, y, n), keep, s, a.dtype, b.dtype, ["i", "j"], {"ix": F.col("i"), "jx": F.col("k"), "iy": F.col("k"), "jy": F.col("j")}, n)
 
         return Expr(Matrix, s.out(a.dtype, b.dtype), (a.nrows, b.ncols), make, f"mxm {s.name}")
 
